@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -25,37 +27,35 @@ def attention_mask(ids: Column, length: Column | int) -> Column:
     return F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), length - used))
 
 
-def with_term_counts(df: DataFrame, tokens: str, name: str = "terms") -> DataFrame:
-    """Add ``array<struct<term, tf>>`` counted inside the row, without a shuffle.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, even inside other lambdas.
 
-    The tokens are sorted and run-length coded. The steps are columns of their
-    own, each used more than once by the next, so that none is evaluated again
-    per array element.
+    A derived column can be copied into each place that uses it, also into a
+    lambda that runs per element; a bound variable cannot.
     """
-    nothing = F.array().cast("array<int>")
-    return (
-        df.withColumn("_sorted", F.sort_array(F.col(tokens)))
-        .withColumn(
-            "_starts",
-            F.when(
-                F.size("_sorted") > 0,
-                F.filter(
-                    F.sequence(F.lit(0), F.size("_sorted") - 1),
-                    lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)),
-                ),
-            ).otherwise(nothing),
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def term_counts(tokens: Column) -> Column:
+    """``array<struct<term, tf>>`` of a token array, counted inside the row.
+
+    The tokens are sorted and run-length coded, so no shuffle is needed.
+    """
+
+    def runs(words: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(words) - 1),
+            lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)),
         )
-        .withColumn(
-            name,
-            F.transform(
-                F.col("_starts"),
-                lambda start, k: F.struct(
-                    F.get("_sorted", start).alias("term"),
-                    (F.coalesce(F.get("_starts", k + 1), F.size("_sorted")) - start)
-                    .cast("bigint")
-                    .alias("tf"),
+        return let(
+            F.when(F.size(words) > 0, starts).otherwise(F.array().cast("array<int>")),
+            lambda firsts: F.transform(
+                firsts,
+                lambda first, k: F.struct(
+                    F.get(words, first).alias("term"),
+                    (F.coalesce(F.get(firsts, k + 1), F.size(words)) - first).cast("bigint").alias("tf"),
                 ),
             ),
         )
-        .drop("_sorted", "_starts")
-    )
+
+    return let(F.sort_array(tokens), runs)

@@ -39,24 +39,24 @@ def with_position(
     group_by, order_by = list(group_by), list(order_by)
     ordered = df.repartitionByRange(*group_by, *order_by).sortWithinPartitions(*group_by, *order_by)
     placed = settle(
-        ordered.withColumn("_place", F.monotonically_increasing_id()).withColumn(
-            "_block", F.shiftright("_place", 33)
+        ordered.withColumn("_row_at", F.monotonically_increasing_id()).withColumn(
+            "_row_block", F.shiftright("_row_at", 33)
         )
     )
     earlier = (
-        Window.partitionBy(*group_by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*group_by).orderBy("_row_block").rowsBetween(Window.unboundedPreceding, -1)
     )
     # One row per (group, partition): at most partitions + groups rows.
     starts = settle(
-        placed.groupBy(*group_by, "_block")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
+        placed.groupBy(*group_by, "_row_block")
+        .agg(F.count(F.lit(1)).alias("_row_n"), F.min("_row_at").alias("_row_first"))
+        .withColumn("_row_before", F.coalesce(F.sum("_row_n").over(earlier), F.lit(0)))
+        .drop("_row_n")
     )
     return (
-        placed.join(checked_broadcast(starts), [*group_by, "_block"])
-        .withColumn(name, F.col("_before") + F.col("_place") - F.col("_first") + 1)
-        .drop("_place", "_block", "_first", "_before")
+        placed.join(checked_broadcast(starts), [*group_by, "_row_block"])
+        .withColumn(name, F.col("_row_before") + F.col("_row_at") - F.col("_row_first") + 1)
+        .drop("_row_at", "_row_block", "_row_first", "_row_before")
     )
 
 
