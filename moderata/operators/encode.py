@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from moderata.functions import arrays as ar
 from moderata.functions import text as tx
-from moderata.operators.joins import checked_broadcast
-from moderata.session import settle
+from moderata.operators.joins import BROADCAST_ROWS, ROWS_PER_TASK, lookup_join
 
 PAD_ID = 0
 UNKNOWN_ID = 1
@@ -48,6 +47,8 @@ def encode(
     max_length: int = PLAIN_LENGTH,
     pad_id: int = PAD_ID,
     unknown_id: int = UNKNOWN_ID,
+    broadcast_rows: int = BROADCAST_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``row_id, carry, input_ids, attention_mask``, both arrays ``max_length`` long.
 
@@ -55,13 +56,22 @@ def encode(
     bounded; the ids are put together again in the task that split them and only
     whole arrays are shuffled. ``row_id`` must be unique.
     """
-    vocabulary = settle(vocabulary.select(F.col("token").alias("_token"), "token_id"))
+    vocabulary = vocabulary.select(F.col("token").alias("_token"), "token_id", "n")
     pieces = df.select(
         row_id,
         *carry,
         F.posexplode_outer(F.slice(tx.tokens(F.col(text)), 1, max_length)).alias("_at", "_token"),
     )
-    known = pieces.join(checked_broadcast(vocabulary), "_token", "left")
+    known = lookup_join(
+        pieces,
+        vocabulary,
+        ["_token"],
+        row_id=[row_id],
+        matches="n",
+        how="left",
+        broadcast_rows=broadcast_rows,
+        rows_per_task=rows_per_task,
+    )
     token_id = F.coalesce(F.col("token_id"), F.lit(unknown_id)).cast("int")
     entry = F.when(F.col("_token").isNotNull(), F.struct("_at", token_id.alias("id")))
     ids = (

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from moderata.session import settle
 
 BROADCAST_ROWS = 1_000_000
 ROWS_PER_TASK = 4_000_000
+NULL_PARTS = 1024
 
 
 def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -26,32 +29,36 @@ def lookup_join(
     row_id: Sequence[str | Column],
     matches: str,
     how: str = "inner",
+    settled: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join many ``facts`` to a ``lookup`` table with one row per key.
 
     ``matches`` names a lookup column that says how many facts share the key; it
-    is dropped from the result. The lookup is settled first, so its size is
-    known:
+    is dropped from the result. The lookup is settled first (unless ``settled``
+    says that it is a stored table already), so its size is known:
 
     * up to ``broadcast_rows`` rows it is broadcast and the facts do not move;
     * beyond that the facts of a key with more than ``rows_per_task`` matches are
       dealt by a hash of ``row_id`` over several tasks, and only that key's
       lookup row is repeated. The list of such keys has at most
       ``total matches / rows_per_task`` entries, which bounds its broadcast.
+      Facts with a null key match nothing and are dealt over ``NULL_PARTS``.
     """
     on = list(on)
-    lookup = settle(lookup)
+    lookup = lookup if settled else settle(lookup)
     if lookup.count() <= broadcast_rows:
         return facts.join(F.broadcast(lookup.drop(matches)), on, how)
 
     parts = F.ceil(F.col(matches) / F.lit(rows_per_task)).cast("int")
     lookup = lookup.withColumn("_parts", F.greatest(parts, F.lit(1))).drop(matches)
     hot = lookup.where("_parts > 1").select(*on, "_parts")
+    has_null = reduce(or_, [F.col(c).isNull() for c in on])
+    n_parts = F.when(has_null, F.lit(NULL_PARTS)).otherwise(F.coalesce("_parts", F.lit(1)))
     dealt = facts.join(F.broadcast(hot), on, "left").withColumn(
         "_part",
-        F.pmod(F.xxhash64(*row_id), F.coalesce("_parts", F.lit(1))).cast("int"),
+        F.pmod(F.xxhash64(*row_id), n_parts).cast("int"),
     )
     repeated = lookup.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     return dealt.drop("_parts").join(repeated.drop("_parts"), [*on, "_part"], how).drop("_part")

@@ -11,7 +11,7 @@ from moderata.functions import arrays as ar
 from moderata.functions import labels as lb
 from moderata.functions import text as tx
 from moderata.operators import chunking, classify, curate, encode, evaluate, preferences, ranking, retrieval
-from moderata.session import new_folder, settle
+from moderata.session import new_folder, settle, spread
 from moderata.sources import index_store, metrics, model_store, registry
 from moderata.sources.tables import page_documents, read_table, read_tsv
 from moderata.streaming import files
@@ -31,12 +31,19 @@ def _null_if(column: str, value: str) -> Column:
     return F.nullif(F.col(column), F.lit(value))
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(read_table(spark, folder, "documents"), "doc_id")
+
+
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    return page_documents(spread(read_table(spark, folder, "pages"), "page_id"))
+
+
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
     labels = read_table(spark, folder, "labels").select(
         "doc_id", lb.as_int(F.col("toxic")).alias("label")
     )
-    documents = read_table(spark, folder, "documents").select("doc_id", "text", "lang")
-    return documents.join(labels, "doc_id")
+    return _documents(spark, folder).select("doc_id", "text", "lang").join(labels, "doc_id")
 
 
 def _joined(array: Column) -> Column:
@@ -246,12 +253,12 @@ def length_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def vocab_build(spark: SparkSession, folder: str) -> DataFrame:
-    return encode.build_vocabulary(read_table(spark, folder, "documents"))
+    return encode.build_vocabulary(_documents(spark, folder))
 
 
 @query
 def encode_fixed(spark: SparkSession, folder: str) -> DataFrame:
-    vocabulary = encode.build_vocabulary(read_table(spark, folder, "documents"))
+    vocabulary = encode.build_vocabulary(_documents(spark, folder))
     items = encode.encode(read_table(spark, folder, "benchmark"), vocabulary, "item_id", max_length=64)
     return items.select(
         "item_id",
@@ -263,7 +270,7 @@ def encode_fixed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def encode_budget(spark: SparkSession, folder: str) -> DataFrame:
-    vocabulary = settle(encode.build_vocabulary(read_table(spark, folder, "documents")))
+    vocabulary = settle(encode.build_vocabulary(_documents(spark, folder)))
     items = read_table(spark, folder, "benchmark")
     modes = []
     for rag, length in ((False, encode.PLAIN_LENGTH), (True, encode.RETRIEVAL_LENGTH)):
@@ -295,17 +302,17 @@ def chat_render(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def html_to_text(spark: SparkSession, folder: str) -> DataFrame:
-    return page_documents(read_table(spark, folder, "pages"))
+    return _pages(spark, folder)
 
 
 @query
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.chunk(read_table(spark, folder, "documents"))
+    return chunking.chunk(_documents(spark, folder))
 
 
 @query
 def chunk_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_table(spark, folder, "documents")
+    docs = _documents(spark, folder)
     chunks = chunking.chunk(docs).select("doc_id", "pos", "node_id")
     return chunking.attach_metadata(chunks, docs, METADATA)
 
@@ -315,8 +322,8 @@ def chunk_metadata(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def tfidf_index(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_table(spark, folder, "documents")
-    vectors = retrieval.tfidf_vectors(docs, "doc_id", retrieval.idf_table(docs))
+    docs = _documents(spark, folder)
+    vectors = retrieval.tfidf_vectors(docs, "doc_id", settle(retrieval.idf_table(docs)))
     entries = F.explode(F.arrays_zip("terms", "weights"))
     return vectors.select("doc_id", entries.alias("e")).select(
         "doc_id", F.col("e.terms").alias("term"), F.round("e.weights", 6).alias("weight")
@@ -335,7 +342,7 @@ def topk_dense(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def topk_sparse(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_table(spark, folder, "documents")
+    docs = _documents(spark, folder)
     idf = settle(retrieval.idf_table(docs))
     nodes = settle(retrieval.tfidf_vectors(docs, "doc_id", idf).withColumnRenamed("doc_id", "node_id"))
     return retrieval.retrieve(read_table(spark, folder, "benchmark"), "item_id", nodes, idf, k=3)
@@ -343,17 +350,16 @@ def topk_sparse(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def rag_augment(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_table(spark, folder, "documents")
+    docs = _documents(spark, folder)
     index = index_store.build_index(docs, new_folder(spark, "index"), METADATA)
-    vectors = index.nodes.where(F.col("terms").isNotNull())
     items = read_table(spark, folder, "benchmark")
-    hits = retrieval.retrieve(items, "item_id", vectors, index.idf, k=2)
-    return retrieval.augment(items, "item_id", hits, index.nodes)
+    hits = retrieval.retrieve(items, "item_id", index.vectors, index.idf, k=2)
+    return retrieval.augment(items, "item_id", hits, index.chunks)
 
 
 @query
 def page_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    pages = page_documents(read_table(spark, folder, "pages"))
+    pages = _pages(spark, folder)
     return chunking.chunk(pages, carry=["url"])
 
 
@@ -361,7 +367,7 @@ def page_nodes(spark: SparkSession, folder: str) -> DataFrame:
 def index_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """The index is written to the shared folder and opened again."""
     path = new_folder(spark, "index")
-    index_store.open_index(spark, path, read_table(spark, folder, "documents"), METADATA)
+    index_store.open_index(spark, path, _documents(spark, folder), METADATA)
     index = index_store.open_index(spark, path)
     return index.nodes.select("node_id", "doc_id", "n_words", "lang", F.size("terms").alias("n_terms"))
 
@@ -493,11 +499,10 @@ def accuracy_cube(spark: SparkSession, folder: str) -> DataFrame:
     """Naive Bayes plain and on retrieval prompts from the pages, and the majority label."""
     train, test = _holdout(spark, folder)
     model = settle(classify.train_naive_bayes(train))
-    pages = page_documents(read_table(spark, folder, "pages"))
+    pages = _pages(spark, folder)
     index = index_store.build_index(pages, new_folder(spark, "index"), ["url"])
-    vectors = index.nodes.where(F.col("terms").isNotNull())
-    hits = retrieval.retrieve(test, "doc_id", vectors, index.idf, k=1)
-    augmented = retrieval.augment(test, "doc_id", hits, index.nodes)
+    hits = retrieval.retrieve(test, "doc_id", index.vectors, index.idf, k=1)
+    augmented = retrieval.augment(test, "doc_id", hits, index.chunks)
 
     keep = ["lang", "label"]
     scored = {
@@ -561,12 +566,12 @@ def log_rows(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stream_labels(spark: SparkSession, folder: str) -> DataFrame:
     """The events file as a stream through the threshold rule, appended to a table."""
-    source = f"{folder.rstrip('/')}/events.parquet"
-    schema = spark.read.parquet(source).schema
+    schema = read_table(spark, folder, "events").schema
     path = new_folder(spark, "stream-out")
 
     def label(df: DataFrame) -> DataFrame:
         return df.select("event_id", lb.above(F.col("value"), 50.0).alias("label"))
 
-    files.append_stream(files.read_stream(spark, source, schema), path, label).awaitTermination()
+    events = files.read_stream(spark, folder, schema, "events.parquet")
+    files.append_stream(events, path, label).awaitTermination()
     return spark.read.parquet(path)

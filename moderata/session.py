@@ -42,3 +42,14 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal a small scan over all cores before expensive work on each row.
+
+    A table in one small file is read by one task however many cores there are.
+    Only a scan with fewer partitions than the cluster has cores is moved; a
+    large table stays where it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -17,10 +17,14 @@ from moderata.session import new_folder
 
 
 def read_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, max_files: int | None = None
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    names: str = "*.parquet",
+    max_files: int | None = None,
 ) -> DataFrame:
-    """New Parquet files below ``folder`` as a stream."""
-    reader = spark.readStream.schema(schema)
+    """New Parquet files below ``folder`` whose name matches ``names``, as a stream."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", names)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(folder)
