@@ -75,11 +75,8 @@ def encode(
     token_id = F.coalesce(F.col("token_id"), F.lit(unknown_id)).cast("int")
     entry = F.when(F.col("_token").isNotNull(), F.struct("_at", token_id.alias("id")))
     ids = (
-        known.groupBy(row_id)
-        .agg(
-            F.sort_array(F.collect_list(entry)).alias("_entries"),
-            *[F.first(c).alias(c) for c in carry],
-        )
+        known.groupBy(row_id, *carry)
+        .agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
         .withColumn("_ids", F.col("_entries.id"))
     )
     return ids.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +12,28 @@ from pyspark.sql import functions as F
 from moderata.session import settle
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 256 * 1024 * 1024
 ROWS_PER_TASK = 4_000_000
 NULL_PARTS = 1024
 
 
+def fits(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a settled table is small in rows and in bytes of its values.
+
+    Rows are counted first, so the texts of a large table are not read.
+    """
+    if table.count() > max_rows:
+        return False
+    width = [
+        F.coalesce(F.octet_length(c), F.lit(0)) if kind == "string" else F.lit(16) for c, kind in table.dtypes
+    ]
+    size = table.select(F.sum(reduce(add, width).cast("bigint"))).first()[0] or 0
+    return size <= max_bytes
+
+
 def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a settled table only if it has at most ``max_rows`` rows."""
-    return F.broadcast(small) if small.count() <= max_rows else small
+    """Broadcast a settled table only if it is small."""
+    return F.broadcast(small) if fits(small, max_rows) else small
 
 
 def lookup_join(
@@ -39,7 +54,7 @@ def lookup_join(
     is dropped from the result. The lookup is settled first (unless ``settled``
     says that it is a stored table already), so its size is known:
 
-    * up to ``broadcast_rows`` rows it is broadcast and the facts do not move;
+    * up to ``broadcast_rows`` rows and ``BROADCAST_BYTES`` it is broadcast and the facts do not move;
     * beyond that the facts of a key with more than ``rows_per_task`` matches are
       dealt by a hash of ``row_id`` over several tasks, and only that key's
       lookup row is repeated. The list of such keys has at most
@@ -48,7 +63,7 @@ def lookup_join(
     """
     on = list(on)
     lookup = lookup if settled else settle(lookup)
-    if lookup.count() <= broadcast_rows:
+    if fits(lookup, broadcast_rows):
         return facts.join(F.broadcast(lookup.drop(matches)), on, how)
 
     parts = F.ceil(F.col(matches) / F.lit(rows_per_task)).cast("int")

@@ -85,12 +85,14 @@ def with_split(
 ) -> DataFrame:
     """Mark exactly ``ceil(test_size * n)`` rows as test, the rest as train.
 
-    The rows themselves are never shuffled. Counts per key prefix (at most
-    ``16 ** prefix_digits`` rows) give the bucket in which the cut falls; only
-    that bucket is ranked to find the last test key, which is then compared with
-    every row. ``row_id`` must be unique. With ``group_by`` the key is taken
-    from that column, so equal values stay on one side; the cut is then a share
-    of the key range and sizes are approximate.
+    The rows themselves are never shuffled. Two small jobs find the last test
+    key: counts per key prefix (at most ``16 ** prefix_digits`` rows) give the
+    bucket in which the cut falls, and only that bucket is ordered. The result
+    compares each row's key with that one value, so using it again costs nothing.
+    ``row_id`` must be unique.
+
+    With ``group_by`` the key is taken from that column, so equal values stay on
+    one side; the cut is then a share of the key range and sizes are approximate.
     """
     if group_by is not None:
         # 15 hex digits of the key as a number, against the same share of their range.
@@ -109,14 +111,12 @@ def with_split(
         .where((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_n") < F.col("_wanted")))
         .select("_bucket", (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_need"))
     )
-    in_bucket = Window.partitionBy("_bucket").orderBy("_key")
-    last_test_key = (
-        keys.where(F.col("_bucket") == cut.select("_bucket").scalar())
-        .withColumn("_rank", F.row_number().over(in_bucket))
-        .where(F.col("_rank") == cut.select("_need").scalar())
-        .select("_key")
-    )
-    return df.withColumn(name, F.coalesce(key <= last_test_key.scalar(), F.lit(False)))
+    found = cut.first()
+    if found is None:
+        return df.withColumn(name, F.lit(False))
+    in_bucket = keys.where(F.col("_bucket") == found["_bucket"]).select("_key").orderBy("_key")
+    last_test_key = in_bucket.offset(found["_need"] - 1).first()["_key"]
+    return df.withColumn(name, F.coalesce(key <= F.lit(last_test_key), F.lit(False)))
 
 
 def split(df: DataFrame, row_id: str, test_size: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -35,13 +35,17 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it on reliable storage.
+    """Compute ``df`` once and keep it as a table in the shared folder.
 
     Used where a result feeds several branches, or where its row numbers must
-    not change if an executor is lost and a stage is run again.
+    not change if an executor is lost and a stage is run again. A written table
+    is computed in one pass (a checkpoint runs its last stage twice), its columns
+    can be pruned and its rows are counted from the file footers.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = new_folder(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
