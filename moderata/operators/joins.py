@@ -11,12 +11,22 @@ from pyspark.sql import functions as F
 
 from moderata.session import settle
 
-BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 256 * 1024 * 1024
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_TASK = 4_000_000
 NULL_PARTS = 1024
 
 
+def _width(name: str, kind: str) -> Column:
+    """Bytes of a value: texts and binary by their own length, nested values by their JSON."""
+    column = F.col(f"`{name}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(column), F.lit(0))
+    if kind.startswith(("array", "map", "struct", "variant")):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return F.lit(16)
+
+
 def fits(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether a settled table is small in rows and in bytes of its values.
 
@@ -24,9 +34,7 @@ def fits(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROA
     """
     if table.count() > max_rows:
         return False
-    width = [
-        F.coalesce(F.octet_length(c), F.lit(0)) if kind == "string" else F.lit(16) for c, kind in table.dtypes
-    ]
+    width = [_width(c, kind) for c, kind in table.dtypes]
     size = table.select(F.sum(reduce(add, width).cast("bigint"))).first()[0] or 0
     return size <= max_bytes
 
