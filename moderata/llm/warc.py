@@ -289,7 +289,9 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                 rows.append(parse(gzip.decompress(source.read(length))))
             yield _as_batch(rows, RECORD_NAMES, RECORD_TYPES)
 
-    by_file = index.select("file", "position", "length").repartition("file")
+    # As many parts as files: entries are few bytes, but each stands for a record to read.
+    n_files = index.select(F.count_distinct("file")).first()[0]
+    by_file = index.select("file", "position", "length").repartition(max(1, n_files), "file")
     return by_file.sortWithinPartitions("file", "position").mapInArrow(records, RECORD)
 
 
