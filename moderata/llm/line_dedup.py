@@ -1,18 +1,20 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its shingles of five words (a shorter line is one shingle). The
-shingles of a line are put in one order for the whole corpus, rare ones first; two
-lines with Jaccard similarity of 0.8 or more must share one of the first few, their
-prefix. Prefix shingles that only one set has are dropped, the others are joined,
-and pairs pass filters on length, on the position of the shared shingle and on a
-sketch of the difference before their shingles are compared. A line goes if an
-earlier line, in order of ``doc_id`` and line number, is that similar to it.
-
-Rarity is read from a table of shingle counts by hash, ``TABLE_SIZE`` bytes whatever
-the corpus; a crowded entry can make a shingle look more frequent, which costs time,
-never a match. Only whether a line has an earlier match is asked, so of a dense group
-every line is first compared with the group's earliest, and only lines still open go
-into the join of all pairs. Only column expressions and joins are used.
+shingles of a line are put in one order for the whole corpus; two lines with Jaccard
+similarity of 0.8 or more must share one of the first few, their prefix. The order is
+rare before frequent: shingles that occur in fewer than ``FREQUENT`` prefixes count as
+equally rare and stand by their hash, the others follow by their number of lines.
+Prefixes are first taken by hash alone, which is already right for every line
+without a frequent shingle in its prefix; only the other lines are counted in full
+and ordered anew. Prefix shingles that only one set has are dropped, the others are
+joined, pairs pass filters on length and on the position of the shared shingle, and
+the shingles themselves are compared. A line goes if an earlier line, in order of
+``doc_id`` and line number, is that similar to it.
+
+Only whether a line has an earlier match is asked, so of a dense group every line is
+first compared with the group's earliest, and only lines still open go into the join
+of all pairs. Only column expressions and joins are used.
 
 Defined results: a null text stays null and has no lines; a line without words stays;
 equal lines of one document are matches too; rows that agree in ``doc_id`` and text
@@ -22,8 +24,6 @@ all its lines has an empty text; an empty table gives no rows; all other columns
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +34,8 @@ from moderata.session import settle
 SHINGLE = 5
 # Similarity as a fraction, so that its comparison is exact.
 SIMILARITY = (4, 5)
-TABLE_SIZE = 1 << 16
-HASH_BITS = 56
+FREQUENT = 200
+HERE = ("doc_id", "doc", "line_no")
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
@@ -68,90 +68,106 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", doc, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def rarity_table(docs: DataFrame, size: int = SHINGLE, entries: int = TABLE_SIZE) -> bytes:
-    """One byte per hash entry: a step of about 19 % in the number of shingles there."""
-    counted = (
-        _lines(docs.select("doc_id", "text"))
-        .select(F.explode(shingles(F.col("line"), size)).alias("s"))
-        .groupBy(F.pmod("s", F.lit(entries)).alias("entry"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    table = bytearray(entries)
-    for row in counted.toLocalIterator():
-        table[row["entry"]] = min(127, int(4 * math.log2(row["n"] + 1)))
-    return bytes(table)
-
-
-def line_sets(docs: DataFrame, rarity: bytes, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, doc, line_no, set_key, n, prefix, sketch`` of every line with a word.
-
-    A shingle's key is its rarity before its hash, so keys sort rare first. The sketch
-    flips one of 64 bits per shingle; two sketches differ in no more bits than their sets.
-    """
+def _prefix(n: Column) -> Column:
+    """Length of the prefix of a set of ``n`` shingles."""
     num, den = SIMILARITY
-    table = F.lit(rarity)
-    mask = (1 << HASH_BITS) - 1
+    return n - F.floor((n * num + (den - 1)) / den).cast("int") + 1
+
 
-    def key(s: Column) -> Column:
-        step = F.ascii(F.substring(table, F.pmod(s, F.lit(len(rarity))).cast("int") + 1, 1).cast("string"))
-        return F.shiftleft(step.cast("bigint"), HASH_BITS).bitwiseOR(s.bitwiseAND(F.lit(mask)))
+def line_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``doc_id, doc, line_no, set_key, n, prefix`` of every line with a word, prefixes by hash."""
 
     def described(keys: Column) -> Column:
         n = F.size(keys)
-        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
-        must = F.floor((n * num + (den - 1)) / den).cast("int")
         return F.struct(
-            F.xxhash64(keys).alias("set_key"),
-            n.alias("n"),
-            F.slice(keys, 1, n - must + 1).alias("prefix"),
-            F.aggregate(keys, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(bit(k))).alias("sketch"),
+            F.xxhash64(keys).alias("set_key"), n.alias("n"), F.slice(keys, 1, _prefix(n)).alias("prefix")
         )
 
-    found = let(
-        shingles(F.col("line"), size),
-        lambda s: F.when(F.size(s) > 0, let(F.sort_array(F.transform(s, key)), described)),
-    )
-    lines = _lines(docs).select("doc_id", "doc", "line_no", found.alias("set"))
-    return lines.where(F.col("set").isNotNull()).select("doc_id", "doc", "line_no", "set.*")
+    found = let(F.sort_array(shingles(F.col("line"), size)), lambda s: F.when(F.size(s) > 0, described(s)))
+    lines = _lines(docs).select(*HERE, found.alias("set"))
+    return lines.where(F.col("set").isNotNull()).select(*HERE, "set.*")
 
 
-def _overlap(n_a: Column, n_b: Column) -> Column:
-    """Shingles that two sets of these sizes must share."""
-    num, den = SIMILARITY
-    return F.ceil((n_a + n_b) * num / (num + den))
+def _at(*columns: str) -> Column:
+    return F.struct(*(columns or HERE))
 
 
-def _shared_rows(sets: DataFrame) -> DataFrame:
-    """One row per set and prefix shingle that at least two sets have: the candidates' index."""
-    num = F.size("prefix")
-    exploded = sets.select(
-        "doc_id", "doc", "line_no", "set_key", "n", "sketch", num.alias("_p"), F.posexplode("prefix").alias("place", "token")
-    )
-    shared = (
-        exploded.groupBy("token")
+def _rows(sets: DataFrame) -> DataFrame:
+    """One row per line and prefix shingle."""
+    return sets.select("set_key", "n", _at().alias("at"), F.posexplode("prefix").alias("place", "token"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Shingles that the prefixes of at least two sets have, and in how many rows."""
+    return settle(
+        rows.groupBy("token")
         .agg(F.min("set_key").alias("low"), F.max("set_key").alias("high"), F.count(F.lit(1)).alias("n_rows"))
         .where("low <> high")
         .select("token", "n_rows")
     )
-    rows = lookup_join(exploded.drop("_p"), shared, ["token"], row_id=["set_key", "doc"], matches="n_rows")
-    first = F.min(F.struct("doc_id", "doc", "line_no")).alias("at")
-    return settle(rows.groupBy("token", "set_key", "n", "sketch", "place").agg(first))
+
+
+def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``set_key, line`` of the lines at ``wanted(set_key, at)``, one per set."""
+    places = settle(
+        wanted.groupBy(F.col("at.doc").alias("doc"))
+        .agg(F.collect_set(F.struct("set_key", F.col("at.line_no").alias("line_no"))).alias("places"))
+    )
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc"), "text")
+    held = keyed.join(checked_broadcast(places), "doc").select(F.split("text", "\n").alias("lines"), "places")
+    asked = held.select("lines", F.explode("places").alias("p"))
+    return settle(
+        asked.select("p.set_key", F.get("lines", F.col("p.line_no")).alias("line")).dropDuplicates(["set_key"])
+    )
+
+
+def _reordered(docs: DataFrame, chosen: DataFrame, size: int, frequent: int) -> DataFrame:
+    """Prefix rows of ``chosen(set_key, n, at)`` with frequent shingles last, by exact counts among them."""
+    lines = _fetched(docs, chosen.select("set_key", "at"))
+    exploded = settle(lines.select("set_key", F.explode(shingles(F.col("line"), size)).alias("token")))
+    counted = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n_rows"))
+    many = settle(
+        counted.where(F.col("n_rows") >= frequent).select("token", "n_rows", F.col("n_rows").alias("rank"))
+    )
+    ranked = lookup_join(
+        exploded, many, ["token"], row_id=["set_key"], matches="n_rows", how="left", settled=True
+    )
+    # One line's shingles form a group.
+    keys = F.array_sort(F.collect_list(F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), "token")))
+    ordered = ranked.groupBy("set_key").agg(F.transform(keys, lambda k: k["token"]).alias("keys"))
+    prefixes = chosen.join(ordered, "set_key").withColumn("prefix", F.slice("keys", F.lit(1), _prefix(F.col("n"))))
+    return settle(prefixes.select("set_key", "n", "at", F.posexplode("prefix").alias("place", "token")))
+
+
+def _index(docs: DataFrame, sets: DataFrame, size: int, frequent: int) -> DataFrame:
+    """One row per set and prefix shingle that another set's prefix has too."""
+    rows = _rows(sets)
+    shared = _shared(rows)
+    crowded = settle(shared.where(F.col("n_rows") >= frequent))
+    if crowded.head(1):
+        met = lookup_join(rows, crowded, ["token"], row_id=["set_key", "at"], matches="n_rows", settled=True)
+        chosen = settle(met.groupBy("set_key", "n").agg(F.min("at").alias("at")))
+        known = checked_broadcast(settle(chosen.select("set_key")))
+        rest = _rows(sets.join(known, "set_key", "left_anti"))
+        rows = rest.unionByName(_reordered(docs, chosen, size, frequent))
+        shared = _shared(rows)
+    kept = lookup_join(rows, shared, ["token"], row_id=["set_key", "at"], matches="n_rows", settled=True)
+    return settle(kept.groupBy("token", "set_key", "n", "place").agg(F.min("at").alias("at")))
 
 
 def _candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
-    """Pairs on a shared prefix shingle that pass the order, length, position and sketch filters."""
+    """Pairs on a shared prefix shingle that pass the order, length and position filters."""
     num, den = SIMILARITY
-    a = earlier.select("token", *[F.col(c).alias(f"a_{c}") for c in ("set_key", "n", "sketch", "place", "at")])
-    b = later.select("token", *[F.col(c).alias(f"b_{c}") for c in ("set_key", "n", "sketch", "place", "at")])
+    own = ("set_key", "n", "place", "at")
+    a = earlier.select("token", *[F.col(c).alias(f"a_{c}") for c in own])
+    b = later.select("token", *[F.col(c).alias(f"b_{c}") for c in own])
     n_a, n_b = F.col("a_n"), F.col("b_n")
-    must = _overlap(n_a, n_b)
+    must = F.ceil((n_a + n_b) * num / (num + den))
     left = F.least(n_a - F.col("a_place"), n_b - F.col("b_place"))
-    apart = F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch")))
     passes = (
         (F.col("a_set_key") != F.col("b_set_key"))
         & (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num)
         & (left >= must)
-        & (apart <= n_a + n_b - 2 * must)
         & (F.col("a_at") < F.col("b_at"))
     )
     return a.join(b, "token").where(passes).select("a_set_key", "a_at", "b_set_key", "b_at").distinct()
@@ -161,60 +177,46 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """``set_key`` of the later lines whose shingles are as similar as asked to the earlier line's."""
     num, den = SIMILARITY
     pairs = settle(pairs)
-    wanted = pairs.select(F.explode(F.array(*[F.struct(F.col(f"{s}_at").alias("at"), F.col(f"{s}_set_key").alias("key")) for s in "ab"])).alias("w"))
-    places = settle(
-        wanted.select("w.at.doc", "w.at.line_no", "w.key")
-        .distinct()
-        .groupBy("doc")
-        .agg(F.collect_list(F.struct("line_no", "key")).alias("places"))
-    )
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc"), "text")
-    held = keyed.join(checked_broadcast(places), "doc").select(F.split("text", "\n").alias("lines"), "places")
-    asked = held.select("lines", F.explode("places").alias("p"))
-    texts = settle(
-        asked.select("p.key", _shingle_texts(F.get("lines", F.col("p.line_no")), size).alias("shingles"))
-        .groupBy("key")
-        .agg(F.any_value("shingles").alias("shingles"))
-    )
-    texts = checked_broadcast(texts)
-    side = lambda s: texts.select(F.col("key").alias(f"{s}_set_key"), F.col("shingles").alias(f"{s}_shingles"))
-    both = pairs.join(side("a"), "a_set_key").join(side("b"), "b_set_key")
-    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    total = F.size("a_shingles") + F.size("b_shingles")
-    return settle(
-        both.where(common * (num + den) >= total * num).select(F.col("b_set_key").alias("set_key")).distinct()
+    side = lambda s: pairs.select(F.col(f"{s}_set_key").alias("set_key"), F.col(f"{s}_at").alias("at"))
+    lines = checked_broadcast(_fetched(docs, side("a").union(side("b")).distinct()))
+    named = lambda s: lines.select(F.col("set_key").alias(f"{s}_set_key"), F.col("line").alias(f"{s}_line"))
+    both = pairs.join(named("a"), "a_set_key").join(named("b"), "b_set_key")
+
+    def similar(a: Column, b: Column) -> Column:
+        return F.size(F.array_intersect(a, b)) * (num + den) >= (F.size(a) + F.size(b)) * num
+
+    test = let(
+        _shingle_texts(F.col("a_line"), size),
+        lambda a: let(_shingle_texts(F.col("b_line"), size), lambda b: similar(a, b)),
     )
+    return settle(both.where(test).select(F.col("b_set_key").alias("set_key")).distinct())
 
 
-def later_matches(docs: DataFrame, sets: DataFrame, size: int = SHINGLE) -> DataFrame:
+def later_matches(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, frequent: int = FREQUENT) -> DataFrame:
     """``set_key`` of the sets that are similar to a set with an earlier first line."""
-    rows = _shared_rows(sets)
-    earliest = rows.groupBy("token").agg(
-        F.min(F.struct("at", "set_key", "n", "sketch", "place")).alias("e"), F.count(F.lit(1)).alias("n_rows")
-    )
-    pivots = settle(earliest.select("token", "e.*", "n_rows"))
-    one = _candidates(pivots.drop("n_rows"), rows)
-    settled = _verified(docs, one, size)
-    open_rows = rows.join(checked_broadcast(settled), "set_key", "left_anti")
-    rest = _verified(docs, _candidates(rows, settle(open_rows)), size)
-    return settle(settled.union(rest).distinct())
+    rows = _index(docs, sets, size, frequent)
+    earliest = rows.groupBy("token").agg(F.min(F.struct("at", "set_key", "n", "place")).alias("e"))
+    pivots = settle(earliest.select("token", "e.*"))
+    first = _verified(docs, _candidates(pivots, rows), size)
+    still_open = settle(rows.join(checked_broadcast(first), "set_key", "left_anti"))
+    rest = _verified(docs, _candidates(rows, still_open), size)
+    return settle(first.union(rest).distinct())
 
 
-def removed_lines(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def removed_lines(docs: DataFrame, size: int = SHINGLE, frequent: int = FREQUENT) -> DataFrame:
     """``doc_id, doc, n_lines, removed``: how many lines with a word, and the numbers of those that go."""
     source = docs.select("doc_id", "text")
-    sets = settle(line_sets(source, rarity_table(source, size), size))
-    matched = later_matches(source, sets, size)
+    sets = settle(line_sets(source, size))
+    matched = later_matches(source, sets, size, frequent)
     firsts = sets.groupBy("set_key").agg(
-        F.min(F.struct("doc_id", "doc", "line_no")).alias("at"), F.count(F.lit(1)).alias("n_lines")
+        F.min(_at()).alias("at"), F.count(F.lit(1)).alias("n_lines")
     )
     goes = firsts.join(checked_broadcast(matched.withColumn("_matched", F.lit(True))), "set_key", "left").select(
         "set_key", "at", F.coalesce("_matched", F.lit(False)).alias("_matched"), "n_lines"
     )
     narrow = sets.select("doc_id", "doc", "line_no", "set_key")
     judged = lookup_join(narrow, goes, ["set_key"], row_id=["doc", "line_no"], matches="n_lines")
-    here = F.struct("doc_id", "doc", "line_no")
-    gone = F.when(F.col("_matched") | ~here.eqNullSafe(F.col("at")), F.col("line_no"))
+    gone = F.when(F.col("_matched") | ~_at().eqNullSafe(F.col("at")), F.col("line_no"))
     return (
         judged.select("doc_id", "doc", "line_no", gone.alias("gone"))
         .groupBy("doc_id", "doc")
@@ -223,13 +225,15 @@ def removed_lines(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame, size: int = SHINGLE, drop_emptied: bool = False) -> DataFrame:
+def deduplicate(
+    docs: DataFrame, size: int = SHINGLE, drop_emptied: bool = False, frequent: int = FREQUENT
+) -> DataFrame:
     """``docs`` with ``text`` cut to the lines that stay, and ``n_lines``, ``n_removed``.
 
     With ``drop_emptied`` a document that had lines and lost them all is left out.
     Building the frame runs jobs.
     """
-    gone = settle(removed_lines(docs, size))
+    gone = settle(removed_lines(docs, size, frequent))
     names = {c: fresh(docs, f"_{c}") for c in ("doc", "id", "n", "removed")}
     lookup = checked_broadcast(
         gone.select(*[F.col(c).alias(names[k]) for k, c in (("id", "doc_id"), ("doc", "doc"), ("n", "n_lines"), ("removed", "removed"))])
