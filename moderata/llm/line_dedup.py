@@ -34,7 +34,7 @@ from moderata.session import settle
 SHINGLE = 5
 # Similarity as a fraction, so that its comparison is exact.
 SIMILARITY = (4, 5)
-FREQUENT = 200
+FREQUENT = 50
 HERE = ("doc_id", "doc", "line_no")
 
 
@@ -178,18 +178,28 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     num, den = SIMILARITY
     pairs = settle(pairs)
     side = lambda s: pairs.select(F.col(f"{s}_set_key").alias("set_key"), F.col(f"{s}_at").alias("at"))
-    lines = checked_broadcast(_fetched(docs, side("a").union(side("b")).distinct()))
-    named = lambda s: lines.select(F.col("set_key").alias(f"{s}_set_key"), F.col("line").alias(f"{s}_line"))
-    both = pairs.join(named("a"), "a_set_key").join(named("b"), "b_set_key")
+    lines = _fetched(docs, side("a").union(side("b")).distinct())
+    # Hashes are made once per line and leave few pairs; those are compared word by word.
+    hashed = checked_broadcast(settle(lines.select("set_key", shingles(F.col("line"), size).alias("hashes"))))
+    texts = checked_broadcast(lines)
+
+    def beside(found: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        for s in "ab":
+            named = table.select(F.col("set_key").alias(f"{s}_set_key"), F.col(column).alias(f"{s}_{column}"))
+            found = found.join(named, f"{s}_set_key")
+        return found
 
     def similar(a: Column, b: Column) -> Column:
         return F.size(F.array_intersect(a, b)) * (num + den) >= (F.size(a) + F.size(b)) * num
 
+    likely = beside(pairs, hashed, "hashes").where(similar(F.col("a_hashes"), F.col("b_hashes")))
+    likely = settle(likely.select("a_set_key", "b_set_key"))
     test = let(
         _shingle_texts(F.col("a_line"), size),
         lambda a: let(_shingle_texts(F.col("b_line"), size), lambda b: similar(a, b)),
     )
-    return settle(both.where(test).select(F.col("b_set_key").alias("set_key")).distinct())
+    both = beside(likely, texts, "line").where(test)
+    return settle(both.select(F.col("b_set_key").alias("set_key")).distinct())
 
 
 def later_matches(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, frequent: int = FREQUENT) -> DataFrame:
