@@ -7,8 +7,8 @@ rare before frequent: shingles that occur in fewer than ``FREQUENT`` prefixes co
 equally rare and stand by their hash, the others follow by their number of lines.
 Prefixes are first taken by hash alone, which is already right for every line
 without a frequent shingle in its prefix; only the other lines are counted in full
-and ordered anew. Equal sets are one set, at the place of the first line that has it. Prefix shingles
-that only one set has are dropped, the others are joined, pairs pass filters on length and on the position of the shared shingle, and
+and ordered anew. Prefix shingles that only one set has are dropped, the others are
+joined, pairs pass filters on length and on the position of the shared shingle, and
 the shingles themselves are compared. A line goes if an earlier line, in order of
 ``doc_id`` and line number, is that similar to it.
 
@@ -24,6 +24,8 @@ all its lines has an empty text; an empty table gives no rows; all other columns
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,24 +42,44 @@ HERE = ("doc_id", "doc", "line_no")
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
     """Hashes of the runs of ``size`` words of a line, without repeats; none for a line without words."""
-    return let(words(line), lambda w: _run_hashes(w, size))
+    steps = _run_steps(size)
+
+    def run(at: int, value: Column) -> Column:
+        return let(value, lambda v: run(at + 1, steps[at](v))) if at < len(steps) else value
+
+    return run(0, words(line))
+
+
+def _run_steps(size: int) -> list[Callable[[Column], Column]]:
+    """The way from the words of a line to its shingles.
+
+    Words are hashed once; runs of 1, 2, 4 ... words are doubled while they fit and
+    then lengthened to ``size`` by a second run that overlaps the first. A line of
+    fewer words is one run of them all. Every step uses its argument more than
+    once, so it has to be bound.
+    """
 
+    def paired(shift: int) -> Callable[[Column], Column]:
+        def step(runs: Column) -> Column:
+            # A line too short for this length keeps what it has, under one hash.
+            length = F.size(runs) - shift
+            both = F.zip_with(F.slice(runs, F.lit(1), length), F.slice(runs, shift + 1, length), _hash_two)
+            whole = F.when(F.size(runs) > 0, F.array(F.xxhash64(runs))).otherwise(runs)
+            return F.when(length > 0, both).otherwise(whole)
 
-def _run_hashes(w: Column, size: int) -> Column:
-    """The same of a column of words. A run's hash is made of the hashes of two shorter runs."""
-    hashed = F.transform(w, lambda word: F.xxhash64(word))
+        return step
 
-    def runs(length: int) -> Column:
-        if length == 1:
-            return hashed
-        half = 1 << ((length - 1).bit_length() - 1)
-        rest = F.slice(runs(length - half), F.lit(half + 1), F.size(w))
-        return F.zip_with(runs(half), rest, lambda a, b: F.xxhash64(a, b))
+    steps = [lambda w: F.transform(w, lambda word: F.xxhash64(word))]
+    length = 1
+    while length < size:
+        shift = min(length, size - length)
+        steps.append(paired(shift))
+        length += shift
+    return [*steps, F.array_distinct]
 
-    many = F.slice(runs(size), F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(0)))
-    whole = F.array(F.xxhash64(F.array_join(w, " ")))
-    none = F.array().cast("array<bigint>")
-    return F.when(F.size(w) == 0, none).when(F.size(w) < size, whole).otherwise(F.array_distinct(many))
+
+def _hash_two(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
 
 
 def _shingle_texts(line: Column, size: int = SHINGLE) -> Column:
@@ -87,36 +109,32 @@ def line_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``doc_id, doc, line_no, set_key, n, prefix`` of every line with a word, prefixes by hash."""
 
     # Decided by the line itself: a filter on the shingles would compute them twice.
-    lines = _lines(docs).where(F.col("line").rlike(f"[^{BLANKS}]"))
-    worded = lines.select(*HERE, words(F.col("line")).alias("words"))
-    hashed = worded.select(*HERE, _run_hashes(F.col("words"), size).alias("keys"))
-    ordered = hashed.select(*HERE, F.sort_array("keys").alias("keys"))
+    found = _lines(docs).where(F.col("line").rlike(f"[^{BLANKS}]")).select(*HERE, words(F.col("line")).alias("keys"))
+    for step in [*_run_steps(size), F.sort_array]:
+        found = found.select(*HERE, step(F.col("keys")).alias("keys"))
     n = F.size("keys")
-    return ordered.select(
+    return found.select(
         *HERE, F.xxhash64("keys").alias("set_key"), n.alias("n"), F.slice("keys", F.lit(1), _prefix(n)).alias("prefix")
     )
 
 
-def distinct_sets(sets: DataFrame) -> DataFrame:
-    """``set_key, n_lines, n, prefix, at``: every set once, with the place of its first line."""
-    first = F.min(F.struct(_at().alias("at"), "n", "prefix")).alias("first")
-    return sets.groupBy("set_key").agg(F.count(F.lit(1)).alias("n_lines"), first).select(
-        "set_key", "n_lines", "first.*"
-    )
-
-
 def _at(*columns: str) -> Column:
     return F.struct(*(columns or HERE))
 
 
 def _rows(sets: DataFrame) -> DataFrame:
-    """One row per set and prefix shingle."""
-    return sets.select("set_key", "n", "at", F.posexplode("prefix").alias("place", "token"))
+    """One row per line and prefix shingle."""
+    return sets.select("set_key", "n", _at().alias("at"), F.posexplode("prefix").alias("place", "token"))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Shingles that the prefixes of at least two sets have, and of how many."""
-    return settle(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"))
+    """Shingles that the prefixes of at least two sets have, and in how many rows."""
+    return settle(
+        rows.groupBy("token")
+        .agg(F.min("set_key").alias("low"), F.max("set_key").alias("high"), F.count(F.lit(1)).alias("n_rows"))
+        .where("low <> high")
+        .select("token", "n_rows")
+    )
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -157,17 +175,14 @@ def _index(docs: DataFrame, sets: DataFrame, size: int, frequent: int) -> DataFr
     shared = _shared(rows)
     crowded = settle(shared.where(F.col("n_rows") >= frequent))
     if crowded.head(1):
-        met = lookup_join(rows, crowded, ["token"], row_id=["set_key"], matches="n_rows", settled=True)
-        chosen = settle(met.select("set_key", "n", "at").dropDuplicates(["set_key"]))
+        met = lookup_join(rows, crowded, ["token"], row_id=["set_key", "at"], matches="n_rows", settled=True)
+        chosen = settle(met.groupBy("set_key", "n").agg(F.min("at").alias("at")))
         known = checked_broadcast(settle(chosen.select("set_key")))
         rest = _rows(sets.join(known, "set_key", "left_anti"))
-        anew = _reordered(docs, chosen, size, frequent)
-        rows = rest.unionByName(anew)
-        # The shingles of the new prefixes may be alone: they only join nothing.
-        added = anew.groupBy("token").agg(F.count(F.lit(1)).alias("n_rows"))
-        shared = settle(shared.unionByName(added).groupBy("token").agg(F.sum("n_rows").alias("n_rows")))
-    kept = lookup_join(rows, shared, ["token"], row_id=["set_key"], matches="n_rows", settled=True)
-    return settle(kept.select("token", "set_key", "n", "place", "at"))
+        rows = rest.unionByName(_reordered(docs, chosen, size, frequent))
+        shared = _shared(rows)
+    kept = lookup_join(rows, shared, ["token"], row_id=["set_key", "at"], matches="n_rows", settled=True)
+    return settle(kept.groupBy("token", "set_key", "n", "place").agg(F.min("at").alias("at")))
 
 
 def _candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
@@ -218,7 +233,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
 
 
 def later_matches(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, frequent: int = FREQUENT) -> DataFrame:
-    """``set_key`` of the ``sets``, each there once, that are similar to a set with an earlier first line."""
+    """``set_key`` of the sets that are similar to a set with an earlier first line."""
     rows = _index(docs, sets, size, frequent)
     earliest = rows.groupBy("token").agg(F.min(F.struct("at", "set_key", "n", "place")).alias("e"))
     pivots = settle(earliest.select("token", "e.*"))
@@ -232,8 +247,10 @@ def removed_lines(docs: DataFrame, size: int = SHINGLE, frequent: int = FREQUENT
     """``doc_id, doc, n_lines, removed``: how many lines with a word, and the numbers of those that go."""
     source = docs.select("doc_id", "text")
     sets = settle(line_sets(source, size))
-    firsts = settle(distinct_sets(sets))
-    matched = later_matches(source, firsts, size, frequent)
+    matched = later_matches(source, sets, size, frequent)
+    firsts = sets.groupBy("set_key").agg(
+        F.min(_at()).alias("at"), F.count(F.lit(1)).alias("n_lines")
+    )
     goes = firsts.join(checked_broadcast(matched.withColumn("_matched", F.lit(True))), "set_key", "left").select(
         "set_key", "at", F.coalesce("_matched", F.lit(False)).alias("_matched"), "n_lines"
     )
