@@ -54,6 +54,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+_KEPT: dict[str, dict[object, object]] = {}
+
+
+def kept(kind: str, key: object, make: Callable[[], object], limit: int = 4) -> object:
+    """``make()``, kept in the worker between its tasks, at most ``limit`` of a kind.
+
+    A worker outlives the stage it was started for. When a stage asks for another kind,
+    what the stages before it kept is given up first, so the tables of several
+    operators are never held together.
+    """
+    if kind not in _KEPT:
+        _KEPT.clear()
+    tables = _KEPT.setdefault(kind, {})
+    if key not in tables:
+        if len(tables) >= limit:
+            tables.clear()
+        tables[key] = make()
+    return tables[key]
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moderata.llm.common import fresh, ship
+from moderata.llm.common import fresh, kept, ship
 from moderata.session import settle
 
 WINDOW = 10
@@ -186,24 +186,13 @@ def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WO
     return [spark.sparkContext.broadcast(row["automaton"]) for row in built.toLocalIterator()]
 
 
-_LOADED: dict[bytes, Automaton] = {}
-
-
-def _load(shared: Broadcast, key: bytes) -> Automaton:
-    if key not in _LOADED:
-        if len(_LOADED) >= 4:
-            _LOADED.clear()
-        _LOADED[key] = pickle.loads(shared.value)
-    return _LOADED[key]
-
-
 def matches(text: Column, shared: Broadcast) -> Column:
     """Words, hit ranges and matched items of a text, by one automaton."""
     key = hashlib.sha256(shared.value).digest()
 
     @F.pandas_udf(MATCH)
     def scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = _load(shared, key)
+        automaton = kept("automaton", key, lambda: pickle.loads(shared.value))
         for batch in texts:
             rows = []
             for value in batch:

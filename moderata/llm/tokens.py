@@ -7,6 +7,8 @@ import re
 from array import array
 from collections.abc import Callable
 
+from moderata.llm.common import kept
+
 # Words and parts kept between tasks; beyond that the worker starts anew.
 MAX_REMEMBERED = 600_000
 # str.split() also splits at these four, which are no white space for the tokenizer.
@@ -96,11 +98,6 @@ def _split(text: str) -> list[str]:
     return [w for w in _BLANKS.split(text) if w] if _ODD.search(text) else text.split()
 
 
-_OPEN: dict[str, TextTokens] = {}
-
-
 def tokens_of(path: str) -> TextTokens:
     """The worker's :class:`TextTokens` of a tokenizer file."""
-    if path not in _OPEN:
-        _OPEN[path] = TextTokens(path)
-    return _OPEN[path]
+    return kept("tokens", path, lambda: TextTokens(path))
