@@ -288,27 +288,27 @@ def clean(
     shared = automata(benchmark, window, max_words)
     if not shared:
         return docs
-    names = [fresh(docs, f"_found{k}") for k in range(len(shared))]
     cleaned = fresh(docs, "_cleaned")
+    keys = [hashlib.sha256(s.value).digest() for s in shared]
 
+    # Matched and cut in one pass: two Python functions would take two workers per task.
     @F.pandas_udf("struct<text:string, coverage:double>")
-    def without(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, starts, stops in zip(texts, begins, ends, strict=True):
-            if text is None or not len(starts):
-                rows.append((text, 0.0))
-                continue
-            joined = _union(sorted(zip(starts, stops, strict=True)))
-            n_hit = sum(end - begin for begin, end in joined)
-            rows.append((cut(text, joined), n_hit / len(split_words(text))))
-        return pd.DataFrame(rows, columns=["text", "coverage"])
+    def without(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for text in texts:
+                tokens = split_words(text)
+                found = []
+                for part, key in zip(shared, keys, strict=True):
+                    automaton = kept("automaton", key, lambda part=part: pickle.loads(part.value))
+                    found += automaton.match(tokens)[0]
+                joined = _union(sorted(found))
+                n_hit = sum(end - begin for begin, end in joined)
+                rows.append((cut(text, joined), n_hit / len(tokens)) if joined else (text, 0.0))
+            yield pd.DataFrame(rows, columns=["text", "coverage"])
 
-    found = docs.withColumns(
-        {name: matches(F.col("text"), s) for name, s in zip(names, shared, strict=True)}
-    )
-    begins, ends = (F.concat(*[F.col(name)[side] for name in names]) for side in ("begins", "ends"))
     return (
-        found.withColumn(cleaned, without(F.col("text"), begins, ends))
+        docs.withColumn(cleaned, without(F.col("text")))
         .where(F.col(cleaned)["coverage"] <= max_coverage)
         .select(*[F.col(cleaned)["text"].alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
     )
