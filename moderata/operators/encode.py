@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moderata.functions import arrays as ar
 from moderata.functions import text as tx
 from moderata.operators.joins import BROADCAST_ROWS, ROWS_PER_TASK, lookup_join
+from moderata.operators.ranking import with_position
 
 PAD_ID = 0
 UNKNOWN_ID = 1
@@ -21,21 +22,22 @@ RETRIEVAL_LENGTH, RETRIEVAL_BATCH = 256 + 1024, 8
 
 
 def build_vocabulary(
-    df: DataFrame, text: str = "text", max_vocab: int = 5000, first_id: int = FIRST_ID
+    df: DataFrame, text: str = "text", max_vocab: int | None = None, first_id: int = FIRST_ID
 ) -> DataFrame:
-    """The ``max_vocab`` most frequent tokens with ids by rank; ties by token.
+    """All tokens with their counts and ids by rank; ties by token.
 
-    Counts are combined before the shuffle; the limit is a distributed top-k, so
-    the ranking window sees at most ``max_vocab`` rows.
+    Counts are combined before the shuffle and ranks are given in range partitions.
+    ``max_vocab`` asks for the most frequent tokens only.
     """
     counts = (
         df.select(F.explode(tx.tokens(F.col(text))).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    top = counts.orderBy(F.col("n").desc(), "token").limit(max_vocab)
-    by_count = Window.orderBy(F.col("n").desc(), "token")
-    return top.withColumn("token_id", F.row_number().over(by_count) + F.lit(first_id - 1))
+    if max_vocab is not None:
+        counts = counts.orderBy(F.col("n").desc(), "token").limit(max_vocab)
+    ranked = with_position(counts.withColumn("_rarity", -F.col("n")), ["_rarity", "token"], name="_rank")
+    return ranked.select("token", "n", (F.col("_rank") + F.lit(first_id - 1)).cast("int").alias("token_id"))
 
 
 def encode(

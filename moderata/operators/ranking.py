@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,14 @@ def order_key(row_id: str | Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")).cast("binary"))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], broadcast: bool = False) -> DataFrame:
+    """Inner join on ``on`` in which null keys match each other, as they do in a window."""
+    right = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    right = checked_broadcast(right) if broadcast else right
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on])
+    return left.join(right, same).drop(*[f"_right_{c}" for c in on])
+
+
 def with_position(
     df: DataFrame,
     order_by: Sequence[str],
@@ -34,7 +44,7 @@ def with_position(
     partition plus the rows of its group in earlier partitions. The sorted rows
     are settled, because the partition borders are sampled and must not move
     when a stage is run again. Pass only the columns needed; ``order_by`` must
-    be unique inside a group.
+    be unique inside a group. Rows with a null group are a group too.
     """
     group_by, order_by = list(group_by), list(order_by)
     ordered = df.repartitionByRange(*group_by, *order_by).sortWithinPartitions(*group_by, *order_by)
@@ -54,7 +64,7 @@ def with_position(
         .drop("_row_n")
     )
     return (
-        placed.join(checked_broadcast(starts), [*group_by, "_row_block"])
+        _join_null_safe(placed, starts, [*group_by, "_row_block"], broadcast=True)
         .withColumn(name, F.col("_row_before") + F.col("_row_at") - F.col("_row_first") + 1)
         .drop("_row_at", "_row_block", "_row_first", "_row_before")
     )
@@ -220,7 +230,7 @@ def with_next(
         .agg(F.min_by(row, F.col(order_by)).alias("_head"))
         .withColumn("_head", F.lead("_head").over(following))
     )
-    joined = inside.join(heads, [group_by, "_span"])
+    joined = _join_null_safe(inside, heads, [group_by, "_span"])
     following_row = F.coalesce("_next", "_head")
     added = {f"next_{c}": following_row[c] for c in columns}
     return joined.withColumns(added).drop("_span", "_next", "_head")

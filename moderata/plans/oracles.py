@@ -163,7 +163,7 @@ _VOCAB = f"""
 tok_count AS (SELECT token, count(*) AS n
               FROM (SELECT unnest({_tokens('text')}) AS token FROM documents) GROUP BY token),
 vocab AS (SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token) + 1 AS INTEGER) AS token_id
-          FROM tok_count ORDER BY n DESC, token LIMIT 5000)
+          FROM tok_count ORDER BY n DESC, token)
 """
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from moderata.operators import ranking
+from moderata.operators import evaluate, ranking
 
 
 def key(i, seed=42):
@@ -106,3 +106,14 @@ def test_next_row_across_spans(spark, span):
     want = df.withColumn("next_v", F.lead("v").over(Window.partitionBy("g").orderBy("t")))
     columns = ["g", "t", "next_v"]
     assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+
+
+def test_null_groups_keep_their_rows(spark):
+    rows = [(1, 1), (1, 2), (None, 3), (None, 4)]
+    df = spark.createDataFrame(rows, "g int, t int")
+    placed = ranking.with_position(df, ["t"], group_by=["g"]).collect()
+    assert sorted((r.t, r.g, r.position) for r in placed) == [(1, 1, 1), (2, 1, 2), (3, None, 1), (4, None, 2)]
+    following = ranking.with_next(df, "g", "t", ["t"], span=1).collect()
+    assert sorted((r.t, r.next_t) for r in following) == [(1, 2), (2, None), (3, 4), (4, None)]
+    steps = evaluate.progress_rows(evaluate.with_step(df, ["t"], epoch="g"), epoch="g", every=1).collect()
+    assert sorted((r.t, r.g, r.steps) for r in steps) == [(2, 1, 2), (4, None, 2)]
