@@ -42,21 +42,22 @@ def _null_words(column: Column) -> Column:
 def read_tsv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Tab-separated files with a header; quoted fields may span lines.
 
+    Columns are taken by their names in the header: their order is free, others are
+    ignored and a missing one is an error. All files must have the same header.
     Fields are read as text, the usual null words become null, then each column
     is cast to its type in ``schema``.
     """
-    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     df = (
-        spark.read.schema(raw)
-        .option("sep", "\t")
+        spark.read.option("sep", "\t")
         .option("header", True)
+        .option("enforceSchema", False)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", True)
         .csv(path)
     )
     return df.select(
-        *[_null_words(F.col(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields]
+        *[_null_words(F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in schema.fields]
     )
 
 

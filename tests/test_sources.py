@@ -1,7 +1,9 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moderata.functions import labels as lb
 from moderata.sources import index_store, registry
@@ -125,3 +127,11 @@ def test_stream_equals_batch(spark, data, tmp_path):
         events, lambda df, i: seen.append(df.select(F.sum(lb.above(F.col("value"), 50.0))).first()[0]), str(tmp_path / "ck2")
     ).awaitTermination()
     assert sum(seen) == spark.read.parquet(f"{data}/events.parquet").where("value > 50").count()
+
+
+def test_tsv_columns_by_name(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("labels\tnote\tid\nNeutral\tx\t7\n")
+    found = read_tsv(spark, str(tmp_path), T.StructType.fromDDL("id int, labels string"))
+    assert [tuple(r) for r in found.collect()] == [(7, "Neutral")]
+    with pytest.raises(AnalysisException):
+        read_tsv(spark, str(tmp_path), T.StructType.fromDDL("id int, text string"))
