@@ -3,11 +3,10 @@
 A line is the set of its shingles of five words (a shorter line is one shingle). The
 shingles of a line are put in one order for the whole corpus; two lines with Jaccard
 similarity of 0.8 or more must share one of the first few, their prefix. The order is
-rare before frequent: shingles that occur in fewer than ``FREQUENT`` prefixes count as
-equally rare and stand by their hash, the others follow by their number of lines.
-Prefixes are first taken by hash alone, which is already right for every line
-without a frequent shingle in its prefix; only the other lines are counted in full
-and ordered anew. Prefix shingles that only one set has are dropped, the others are
+rare before frequent. Prefixes are first taken by hash alone; the lines with a shingle
+that ``FREQUENT`` prefixes have are counted in full, and the shingles that
+``FREQUENT`` of these lines have follow all others, by that count. Every line with such a
+shingle in its prefix is ordered anew; for the others the prefix by hash is the same. Prefix shingles that only one set has are dropped, the others are
 joined, pairs pass filters on length and on the position of the shared shingle, and
 the shingles themselves are compared. A line goes if an earlier line, in order of
 ``doc_id`` and line number, is that similar to it.
@@ -151,14 +150,14 @@ def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def _reordered(docs: DataFrame, chosen: DataFrame, size: int, frequent: int) -> DataFrame:
-    """Prefix rows of ``chosen(set_key, n, at)`` with frequent shingles last, by exact counts among them."""
+def _exploded(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+    """``set_key, token``: all shingles of the sets of ``chosen(set_key, n, at)``."""
     lines = _fetched(docs, chosen.select("set_key", "at"))
-    exploded = settle(lines.select("set_key", F.explode(shingles(F.col("line"), size)).alias("token")))
-    counted = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n_rows"))
-    many = settle(
-        counted.where(F.col("n_rows") >= frequent).select("token", "n_rows", F.col("n_rows").alias("rank"))
-    )
+    return settle(lines.select("set_key", F.explode(shingles(F.col("line"), size)).alias("token")))
+
+
+def _reordered(exploded: DataFrame, chosen: DataFrame, many: DataFrame) -> DataFrame:
+    """Prefix rows of ``chosen(set_key, n, at)`` with the shingles of ``many`` last, by their rank."""
     ranked = lookup_join(
         exploded, many, ["token"], row_id=["set_key"], matches="n_rows", how="left", settled=True
     )
@@ -175,16 +174,33 @@ def _index(docs: DataFrame, sets: DataFrame, size: int, frequent: int) -> DataFr
     shared = _shared(rows)
     crowded = settle(shared.where(F.col("n_rows") >= frequent))
     if crowded.head(1):
-        met = lookup_join(rows, crowded, ["token"], row_id=["set_key", "at"], matches="n_rows", settled=True)
-        chosen = settle(met.groupBy("set_key", "n").agg(F.min("at").alias("at")))
+        chosen = settle(_holding(rows, crowded))
+        exploded = _exploded(docs, chosen, size)
+        counted = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n_rows"))
+        many = settle(
+            counted.where(F.col("n_rows") >= frequent).select("token", "n_rows", F.col("n_rows").alias("rank"))
+        )
+        # One order for all lines: whoever has a shingle of ``many`` in the prefix is ordered anew.
+        known = checked_broadcast(settle(chosen.select("set_key")))
+        more = settle(_holding(rows, many).join(known, "set_key", "left_anti"))
+        chosen = settle(chosen.unionByName(more))
+        exploded = exploded.unionByName(_exploded(docs, more, size))
         known = checked_broadcast(settle(chosen.select("set_key")))
         rest = _rows(sets.join(known, "set_key", "left_anti"))
-        rows = rest.unionByName(_reordered(docs, chosen, size, frequent))
+        rows = rest.unionByName(_reordered(exploded, chosen, many))
         shared = _shared(rows)
     kept = lookup_join(rows, shared, ["token"], row_id=["set_key", "at"], matches="n_rows", settled=True)
     return settle(kept.groupBy("token", "set_key", "n", "place").agg(F.min("at").alias("at")))
 
 
+def _holding(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``set_key, n, at`` of the sets whose prefix has one of ``tokens(token, n_rows)``."""
+    met = lookup_join(
+        rows, tokens.select("token", "n_rows"), ["token"], row_id=["set_key", "at"], matches="n_rows", settled=True
+    )
+    return met.groupBy("set_key", "n").agg(F.min("at").alias("at"))
+
+
 def _candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
     """Pairs on a shared prefix shingle that pass the order, length and position filters."""
     num, den = SIMILARITY

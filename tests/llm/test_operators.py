@@ -156,6 +156,25 @@ def test_line_dedup_with_frequent_shingles(docs, spark, empty):
     assert line_dedup.deduplicate(empty).count() == 0
 
 
+def test_line_dedup_orders_chosen_and_other_lines_alike(spark):
+    names = spark.range(400).selectExpr("concat('w', id) AS w").selectExpr("w", "xxhash64(w) AS h")
+    w = [r["w"] for r in names.orderBy("h").collect()]
+    # w[0] fills prefixes; w[13:16] are in many of its lines, but seldom in a prefix.
+    lines = [[w[0], w[1 + 2 * i], w[2 + 2 * i], *w[13:16], *w[30 + 4 * i : 34 + 4 * i]] for i in range(6)]
+    lines += [[w[0], *w[13:22]], [*w[13:22], w[-1]]]
+    rnd = random.Random(12)
+    for _ in range(60):
+        line = rnd.choice([lines[-1], rnd.sample(w[:40], 10), rnd.sample(w, 10), rnd.choice(lines)])
+        lines.append([rnd.choice(w) if rnd.random() < 0.08 else x for x in line])
+    sets = [frozenset(x) for x in lines]
+    want = {j: int(any(5 * len(a & b) >= 4 * len(a | b) for a in sets[:j])) for j, b in enumerate(sets)}
+    assert want[7] == 1
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id bigint, text string")
+    for n, frequent in ((8, 5), (len(lines), 3), (len(lines), 5), (len(lines), 9)):
+        rows = line_dedup.deduplicate(table.where(f"doc_id < {n}"), size=1, frequent=frequent).collect()
+        assert {r["doc_id"]: r["n_removed"] for r in rows} == {i: want[i] for i in range(n)}
+
+
 def test_automaton_against_brute_force():
     rnd = random.Random(8)
     words = [b"a", b"b", b"c"]
