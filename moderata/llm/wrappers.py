@@ -5,8 +5,8 @@ aligned two at a time: tags that meet are shared, a text that meets another beco
 slot, tags on one side only become an optional group, and neighbours of the same kind
 fold into a repeated group. The result is a union-free regular expression, the host's
 wrapper. Its elements are told apart once for the host: menus, notices, adverts and the
-like are left out, the article is taken, and a host without a marked article is judged by the
-text and links its elements held over all pages. Each page is then read along its wrapper.
+like are left out, elements that mark an article are found, and what is left is judged by the text and links its elements held over all pages. Each page is
+then read along its wrapper, by the best mark that it has itself.
 
 Pages first meet as shapes with added-up statistics, folded in the task; shapes are
 aligned in bounded bunches, level by level, so a host with most of the pages is
@@ -26,6 +26,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -81,6 +82,8 @@ OUTSIDE_NAMES = {
 }
 ARTICLE_NAMES = {"article", "articlebody", "post", "entry", "story", "content", "main", "body", "text"}
 
+# The keys of an element and those around it, outermost first.
+Path = tuple[str, ...]
 
 
 @dataclass
@@ -300,28 +303,37 @@ def _names_of(key: str) -> tuple[set[str], set[str]]:
     return names, roles
 
 
-def _outside(key: str) -> bool:
+@lru_cache(maxsize=100_000)
+def _marks(key: str) -> tuple[bool, frozenset[str]]:
+    """Whether tag or role put an element outside, and the outside names it has."""
     tag = key.split(" ", 1)[0]
     names, roles = _names_of(key)
-    return tag in OUTSIDE_TAGS or bool(names & OUTSIDE_NAMES) or bool(roles & OUTSIDE_ROLES)
+    return tag in OUTSIDE_TAGS or bool(roles & OUTSIDE_ROLES), frozenset(names & OUTSIDE_NAMES)
 
 
-def _totals(node: Node) -> tuple[int, int]:
+def _outside(node: Node, path: Path, holders: set[Path]) -> bool:
+    always, names = _marks(node.key)
+    return (always or bool(names)) and path not in holders
+
+
+def _totals(node: Node, path: Path, holders: set[Path]) -> tuple[int, int]:
     """Characters of text and of links below an element, what is outside left out."""
     n_text, n_link = node.n_text, node.n_link
     for child in node.children:
-        if isinstance(child, Node) and not _outside(child.key):
-            more = _totals(child)
+        if isinstance(child, Node) and not _outside(child, below := (*path, child.key), holders):
+            more = _totals(child, below, holders)
             n_text, n_link = n_text + more[0], n_link + more[1]
     return n_text, n_link
 
 
-def _marked(node: Node, test) -> list[Node]:  # noqa: ANN001  a predicate over element keys
-    """Outermost elements that pass, in page order, none of them outside."""
-    found = []
+def _marked(node: Node, test, path: Path, holders: set[Path]) -> dict[Path, int]:  # noqa: ANN001  a predicate over element keys
+    """Characters of text of the outermost elements that pass, none of them outside, by path."""
+    found: dict[Path, int] = defaultdict(int)
     for child in node.children:
-        if isinstance(child, Node) and not _outside(child.key):
-            found += [child] if test(child.key) else _marked(child, test)
+        if isinstance(child, Node) and not _outside(child, below := (*path, child.key), holders):
+            more = {below: _totals(child, below, holders)[0]} if test(child.key) else _marked(child, test, below, holders)
+            for at, n in more.items():
+                found[at] += n
     return found
 
 
@@ -338,58 +350,64 @@ def _is_named(key: str) -> bool:
     return bool(names & ARTICLE_NAMES)
 
 
-def article_keys(wrapper: Node) -> set[tuple[str, ...]]:
-    """Paths of the elements that hold the article of a host; the body if none stands out.
+def article_tiers(wrapper: Node, holders: set[Path]) -> list[tuple[set[Path], bool]]:
+    """Paths of the elements that may hold the article on a host's pages, best first.
 
-    Marked articles come first, then a main element, then names such as "content" that
-    hold most of the text, last everything that is not mostly links.
+    Marked articles come first, then a main element, then names such as "content"; what is
+    left is everything that is not mostly links. With each goes whether a page's element
+    must hold most of its text: names are trusted only where they do, on the host or the page.
     """
-    tree = _with_paths(wrapper)
-    all_text = max(1, _totals(wrapper)[0])
+    all_text = max(1, _totals(wrapper, (), holders)[0])
+    tiers = []
     for test in (_is_article, _is_main, _is_named):
-        found = _marked(wrapper, test)
-        held = sum(_totals(n)[0] for n in found)
-        if found and (test is not _is_named or 2 * held > all_text) and held:
-            return {tree[id(n)] for n in found}
-    return {()}
-
-
-def _with_paths(node: Node, path: tuple[str, ...] = ()) -> dict[int, tuple[str, ...]]:
-    paths = {id(node): path}
-    for child in node.children:
-        if isinstance(child, Node):
-            paths |= _with_paths(child, (*path, child.key))
-    return paths
+        found = _marked(wrapper, test, (), holders)
+        held = sum(found.values())
+        if held:
+            tiers.append((set(found), test is _is_named and 2 * held <= all_text))
+    return tiers
 
 
-def _link_paths(node: Node, path: tuple[str, ...] = ()) -> set[tuple[str, ...]]:
+def _link_paths(node: Node, path: Path, holders: set[Path]) -> set[Path]:
     """Paths of the elements that are mostly links over all pages of a host."""
-    found: set[tuple[str, ...]] = set()
+    found: set[Path] = set()
     for child in node.children:
         if isinstance(child, Node):
             below = (*path, child.key)
-            n_text, n_link = _totals(child)
+            n_text, n_link = _totals(child, below, holders)
             if n_text and n_link > MAX_LINK_SHARE * n_text:
                 found.add(below)
             else:
-                found |= _link_paths(child, below)
+                found |= _link_paths(child, below, holders)
     return found
 
 
 class Reader:
-    """Reads pages along a host's wrapper."""
+    """Reads pages along a host's wrapper, each by the best mark of an article that it has."""
 
     def __init__(self, wrapper: Node) -> None:
-        self.articles = article_keys(wrapper)
+        self.holders: set[Path] = set()
+        self.tiers = article_tiers(wrapper, self.holders)
         # Links inside a marked article belong to it.
-        self.skipped = _link_paths(wrapper) if self.articles == {()} else set()
+        self.skipped = _link_paths(wrapper, (), self.holders)
 
     def blocks(self, page: Node) -> list[str]:
+        for articles, must_lead in self.tiers:
+            found = self._found(page, articles, set())
+            if found and must_lead:
+                whole = self._found(page, {()}, set())
+                found = found if 2 * sum(map(len, found)) > sum(map(len, whole)) else []
+            if found:
+                return found
+        return self._found(page, {()}, self.skipped)
+
+    def _found(self, page: Node, articles: set[Path], skipped: set[Path]) -> list[str]:
         found: list[str] = []
-        self._read(page, (), () in self.articles, False, found)
+        self._read(page, (), articles, skipped, () in articles, False, found)
         return found
 
-    def _read(self, node: Node, path: tuple[str, ...], inside: bool, heading_only: bool, found: list[str]) -> None:
+    def _read(
+        self, node: Node, path: Path, articles: set[Path], skipped: set[Path], inside: bool, heading_only: bool, found: list[str]
+    ) -> None:
         for child in node.children:
             if isinstance(child, str):
                 text = _spaced(child) if inside and not heading_only else ""
@@ -397,15 +415,16 @@ class Reader:
                     found.append(text)
                 continue
             below = (*path, child.key)
-            if _outside(child.key) or below in self.skipped:
+            if below in skipped or _outside(child, below, self.holders):
                 continue
+            header = child.tag == "header"
             # A header names the page or the article: only headings of the article's own are its text.
-            own = heading_only or child.tag == "header"
+            own = heading_only or header
             if child.tag in HEADINGS:
                 own = False
-            if child.tag == "header" and not inside:
+            if header and not inside:
                 continue
-            self._read(child, below, inside or below in self.articles, own, found)
+            self._read(child, below, articles, skipped, inside or below in articles, own, found)
 
 
 def host(url: str | None) -> str:

@@ -240,6 +240,31 @@ def test_pages_are_read_along_their_wrapper(spark):
     assert got == {1: "Title\n\nOne & two three\n\nFour", 2: "Title\n\nOne & two three", 3: "Plain text", 4: "", 5: ""}
 
 
+def _texts_of(pages):
+    trees = [wrappers.parse(p) for p in pages]
+    host = wrappers.shape(trees[0])
+    for tree in trees[1:]:
+        host = wrappers.align(host, wrappers.shape(tree))
+    reader = wrappers.Reader(host)
+    return [reader.blocks(t) for t in trees]
+
+
+def test_templates_of_one_host_are_read_page_by_page(spark):
+    menu = "<div class=menu><a href=/>Home</a></div>"
+    kinds = ["<article><p>An article</article>", "<main><p>A main text</main>", "<div class=content><p>Some content</div>",
+             "<div class=x><p>Just a body</div>"]
+    want = ["An article", "A main text", "Some content", "Just a body"]
+    pages = [f"<html><body>{menu}{kind}<footer>end</footer></body></html>" for kind in kinds]
+    assert _texts_of(pages) == [[w] for w in want]
+    rows = [(i, [None, "/a", "http://[", "x"][i], page) for i, page in enumerate(pages)]
+    rows += [(10 + i, "http://h/", page) for i, page in enumerate(pages)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_pages(table).collect()}
+    assert got == {i: want[i % 10] for i, _, _ in rows}
+    # Without text outside the menu a page stays empty.
+    assert _texts_of([*pages, f"<html><body>{menu}<div class=cookie-notice>We use cookies</div></body></html>"])[4] == []
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     shapes = [wrappers.shape(wrappers.parse(p)) for p in ("<ul><li>a<li>b</ul><p>x", "<div>n</div><ul><li>c</ul><p>y")]
     assert wrappers.pattern(wrappers.align(*shapes)) == "(<div>#</div>)?<ul>(<li>#</li>)+</ul><p>#</p>"
