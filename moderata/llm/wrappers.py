@@ -5,7 +5,8 @@ aligned two at a time: tags that meet are shared, a text that meets another beco
 slot, tags on one side only become an optional group, and neighbours of the same kind
 fold into a repeated group. The result is a union-free regular expression, the host's
 wrapper. Its elements are told apart once for the host: menus, notices, adverts and the
-like are left out, elements that mark an article are found, and what is left is judged by the text and links its elements held over all pages. Each page is
+like are left out unless they hold most of its text, elements that mark an article are found, and
+what is left is judged by the text and links its elements held over all pages. Each page is
 then read along its wrapper, by the best mark that it has itself.
 
 Pages first meet as shapes with added-up statistics, folded in the task; shapes are
@@ -54,12 +55,16 @@ ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Elements by their role in the HTML standard.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "xmp", "math", "object"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "xmp", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
     "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt",
     "u", "var",
+    # Formulas and the fallback of an object are text of the line they stand in.
+    "math", "menclose", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mroot", "mrow",
+    "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover",
+    "object", "param", "semantics",
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ENDS_PARAGRAPH = HEADINGS | {
@@ -80,6 +85,11 @@ OUTSIDE_NAMES = {
     "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "widget", "pagination", "pager", "toolbar",
     "copyright", "legal", "disclaimer",
 }
+# Outside names whose elements may well hold more text than the article.
+TALK_NAMES = {"comment", "comments", "commentlist", "reply", "replies", "respond", "disqus"}
+HEADER_NAMES = {"header", "masthead"}
+# Names do not speak against these.
+PAGE_TAGS = {"html", "body", "main"}
 ARTICLE_NAMES = {"article", "articlebody", "post", "entry", "story", "content", "main", "body", "text"}
 
 # The keys of an element and those around it, outermost first.
@@ -311,9 +321,51 @@ def _marks(key: str) -> tuple[bool, frozenset[str]]:
     return tag in OUTSIDE_TAGS or bool(roles & OUTSIDE_ROLES), frozenset(names & OUTSIDE_NAMES)
 
 
+@lru_cache(maxsize=100_000)
+def _led_by_mark(key: str) -> bool:
+    """Whether a name of the element begins with an outside name, like "menu-top" but not "with-menu"."""
+    values = [w.split("=", 1)[-1] for w in key.split(" ")[1:]]
+    return any((pieces := PIECES.findall(v)) and pieces[0].lower() in OUTSIDE_NAMES for v in values)
+
+
 def _outside(node: Node, path: Path, holders: set[Path]) -> bool:
+    """Whether the element at ``path`` is no part of an article.
+
+    Names count only where the element does not hold the article: not on the page's
+    own elements, on an outermost article or on ``holders``.
+    """
     always, names = _marks(node.key)
-    return (always or bool(names)) and path not in holders
+    if always or not names or node.tag in PAGE_TAGS or path in holders:
+        return always
+    return node.tag != "article" or any(_is_article(key) for key in path[:-1])
+
+
+def holding_paths(wrapper: Node, by_page: bool = False) -> set[Path]:
+    """Paths of elements with an outside name that hold most of the text outside links.
+
+    With ``by_page`` the wrapper is that of a single page, which says less: a name must not begin
+    with the outside name then.
+    """
+    found: set[Path] = set()
+
+    def plain(node: Node) -> int:
+        below = sum(plain(c) for c in node.children if isinstance(c, Node) and not _marks(c.key)[0])
+        return node.n_text - node.n_link + below
+
+    def walk(node: Node, path: Path, least: float) -> None:
+        for child in node.children:
+            if not isinstance(child, Node):
+                continue
+            always, names = _marks(child.key)
+            if always or names & TALK_NAMES or plain(child) <= least:
+                continue
+            below = (*path, child.key)
+            if names and not (by_page and _led_by_mark(child.key)):
+                found.add(below)
+            walk(child, below, least)
+
+    walk(wrapper, (), plain(wrapper) / 2)
+    return found
 
 
 def _totals(node: Node, path: Path, holders: set[Path]) -> tuple[int, int]:
@@ -384,8 +436,9 @@ def _link_paths(node: Node, path: Path, holders: set[Path]) -> set[Path]:
 class Reader:
     """Reads pages along a host's wrapper, each by the best mark of an article that it has."""
 
-    def __init__(self, wrapper: Node) -> None:
-        self.holders: set[Path] = set()
+    def __init__(self, wrapper: Node, by_page: bool = False) -> None:
+        self.by_page = by_page
+        self.holders = holding_paths(wrapper, by_page)
         self.tiers = article_tiers(wrapper, self.holders)
         # Links inside a marked article belong to it.
         self.skipped = _link_paths(wrapper, (), self.holders)
@@ -398,7 +451,12 @@ class Reader:
                 found = found if 2 * sum(map(len, found)) > sum(map(len, whole)) else []
             if found:
                 return found
-        return self._found(page, {()}, self.skipped)
+        found = self._found(page, {()}, self.skipped)
+        if found or self.by_page:
+            return found
+        # All that the host's wrapper would read is outside; the page may have a template of its own.
+        own = shape(page)
+        return Reader(own, by_page=True).blocks(page) if holding_paths(own, by_page=True) else []
 
     def _found(self, page: Node, articles: set[Path], skipped: set[Path]) -> list[str]:
         found: list[str] = []
@@ -415,9 +473,15 @@ class Reader:
                     found.append(text)
                 continue
             below = (*path, child.key)
-            if below in skipped or _outside(child, below, self.holders):
-                continue
             header = child.tag == "header"
+            if below in skipped:
+                continue
+            if _outside(child, below, self.holders):
+                always, names = _marks(child.key)
+                # The header of an article may be marked by its name.
+                if always or names - HEADER_NAMES or not (inside and (() not in articles or _is_named(child.key))):
+                    continue
+                header = True
             # A header names the page or the article: only headings of the article's own are its text.
             own = heading_only or header
             if child.tag in HEADINGS:

@@ -265,6 +265,27 @@ def test_templates_of_one_host_are_read_page_by_page(spark):
     assert _texts_of([*pages, f"<html><body>{menu}<div class=cookie-notice>We use cookies</div></body></html>"])[4] == []
 
 
+def test_names_do_not_drop_what_holds_the_article():
+    text = "<p>The text itself, long enough to lead.<p>More."
+    want = ["The text itself, long enough to lead.", "More."]
+    for page in (
+        f"<html class=has-menu><body class='no-sidebar'><article>{text}</article></body></html>",
+        f"<body class='single header-fixed'><div class=content>{text}</div></body>",
+        f"<body><div class='content with-sidebar'>{text}</div><div class=sidebar>Side</div></body>",
+        f"<body><article class='post tag-social'>{text}<article class=comment>First!</article></article></body>",
+        f"<body><div id=page-with-menu>{text}<div id=comments>First!</div></div></body>",
+        f"<body><main class=notice-page>{text}</main></body>",
+    ):
+        assert _texts_of([page]) == [want], page
+    # A template of few pages of a host is judged by itself.
+    other = f"<body><article>{text * 9}</article></body>"
+    assert _texts_of([other, f"<body><div class='content with-sidebar'>{text}</div></body>"])[1] == want
+    titled = f"<body><div class=site-header><h1>Site</h1></div><article><div class=article-header><h1>T</h1><p>by</div>{text}</article>"
+    assert _texts_of([titled]) == [["T", *want]]
+    formula = "<body><article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <object data=a><param name=b>none</object>.</article>"
+    assert _texts_of([formula]) == [["So x=1 and none."]]
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     shapes = [wrappers.shape(wrappers.parse(p)) for p in ("<ul><li>a<li>b</ul><p>x", "<div>n</div><ul><li>c</ul><p>y")]
     assert wrappers.pattern(wrappers.align(*shapes)) == "(<div>#</div>)?<ul>(<li>#</li>)+</ul><p>#</p>"
