@@ -3,8 +3,9 @@
 A configuration is a multiset of piece lengths that fits one sequence. The program
 asks for the fewest configurations that hold every piece; multiplicative weights
 lower the price of a length the more of it is covered, and a knapsack dynamic
-program prices configurations. The fractional answer is rounded, the rest is packed
-best fit first, and ranks inside a length tell every piece its place.
+program prices configurations, in whole numbers, until the demand is covered. What no
+configuration fills well, or all of it if that takes fewer sequences, is packed best fit first by
+length and count, and ranks inside a length tell every piece its place.
 
 Only the histogram (one row per length) reaches the driver, and the plan that comes
 back has a bounded number of configurations whatever the number of documents.
@@ -34,7 +35,10 @@ from moderata.session import settle
 
 CAPACITY = 2048
 END_ID = 0
-PASSES = 3
+# Knapsack solutions in a round at most.
+RESOLVES = 12
+# Unused places that a sequence may have before the last round.
+SPARE = 8
 ROUNDS = 12
 # How fast a covered length loses its price.
 RATE = 0.5
@@ -60,97 +64,141 @@ def _fills(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return value, choice
 
 
-def _fractional(demand: np.ndarray, capacity: int, rounds: int, rate: float) -> dict[Config, float]:
-    """Amounts of configurations that cover the demand as far as the rounds go, and never more.
+def _covering(demand: np.ndarray, capacity: int, rounds: int, rate: float, resolves: int) -> Counter[Config]:
+    """Whole numbers of configurations that hold exactly the demand.
 
-    In each round every length may give one share of its demand. Seeds are taken
-    from the longest down; the knapsack choices fill the room that a seed leaves.
+    In each round every length may give one share of its demand. Seeds are taken from
+    the least covered length on; the knapsack choices fill the room that a seed leaves. When a
+    length of the choice is used up, the seeds it leaves open are priced again over the
+    lengths that still have a share, up to ``resolves`` times a round. Sequences with more
+    than ``SPARE`` unused wait for the next round; the last one goes on, with twice the
+    spare room each time, until nothing is left.
     """
-    amounts: dict[Config, float] = defaultdict(float)
+    used: Counter[Config] = Counter()
     lengths = np.arange(capacity + 1, dtype=float)
     safe = np.maximum(demand, 1)
-    covered = np.zeros(capacity + 1)
+    left = demand.copy()
+
+    def priced(budget: np.ndarray, kept_back: np.ndarray, spare: int, used: Counter[Config]) -> bool:
+        open_share = (np.minimum(left, kept_back) + budget) / safe
+        seeds = np.flatnonzero(budget)[::-1]
+        # Lengths that are behind come first, then the longest.
+        seeds = seeds[np.argsort(-open_share[seeds], kind="stable")].tolist()
+        prices = lengths * np.exp(-rate * (1 - open_share))
+        _, choice = _fills(np.where(budget > 0, prices, 0.0), capacity)
+        return _filled(budget, seeds, choice.tolist(), capacity, spare, used)
+
     for turn in range(1, rounds + 1):
-        prices = np.where(demand > 0, lengths * np.exp(-rate * covered), 0.0)
-        _, choice = _fills(prices, capacity)
         # Shares not used in earlier rounds stay available.
-        budget = (demand * (turn / rounds) - covered * safe).tolist()
-        for seed in np.flatnonzero(demand)[::-1].tolist():
-            while budget[seed] > 1e-9:
-                config = Counter({seed: 1})
-                room = capacity - seed
-                while room > 0:
-                    if choice[room]:
-                        config[int(choice[room])] += 1
-                        room -= int(choice[room])
-                    else:
-                        room -= 1
-                amount = min(budget[length] / n for length, n in config.items())
-                if amount <= 1e-9:
+        kept_back = demand - demand * turn // rounds
+        budget = np.maximum(left - kept_back, 0)
+        for _ in range(resolves):
+            if not budget.any() or not priced(budget, kept_back, SPARE, used):
+                break
+        left = np.minimum(left, kept_back) + budget
+    none, spare = np.zeros_like(left), SPARE
+    rest: Counter[Config] = Counter()
+    simple: Counter[Config] | None = None
+    while left.any() and spare < 2 * capacity:
+        if simple is None and spare > 8 * SPARE:
+            simple = _best_fit(_histogram(left), capacity)
+        if not priced(left, none, spare, used if simple is None else rest):
+            spare *= 2
+    rest += _best_fit(_histogram(left), capacity)
+    return used + (rest if simple is None or sum(rest.values()) <= sum(simple.values()) else simple)
+
+
+def _histogram(counts: np.ndarray) -> Counter[int]:
+    return Counter({int(k): int(counts[k]) for k in np.flatnonzero(counts)})
+
+
+def _filled(
+    budget: np.ndarray, seeds: list[int], choice: list[int], capacity: int, spare: int, used: Counter[Config]
+) -> bool:
+    """Take the configurations of ``choice`` from ``budget`` as far as they go; whether there were any."""
+    have = budget.tolist()
+    progress = False
+    for seed in seeds:
+        while have[seed]:
+            config = {seed: 1}
+            room, waste = capacity - seed, 0
+            while room > 0:
+                length = choice[room]
+                if length and have[length] > config.get(length, 0):
+                    config[length] = config.get(length, 0) + 1
+                    room -= length
+                elif length:
+                    # Used up: another choice has to be made for this seed.
                     break
-                amounts[tuple(sorted(config.items()))] += amount
-                for length, n in config.items():
-                    budget[length] -= amount * n
-                    covered[length] += amount * n / safe[length]
-    return amounts
+                else:
+                    room -= 1
+                    waste += 1
+            if room > 0 or waste > spare:
+                break
+            times = min(have[length] // n for length, n in config.items())
+            used[tuple(sorted(config.items()))] += times
+            progress = True
+            for length, n in config.items():
+                have[length] -= times * n
+    budget[:] = have
+    return progress
 
 
 def _best_fit(left: Counter[int], capacity: int) -> Counter[Config]:
-    """Best-fit decreasing over a histogram."""
+    """Best-fit decreasing over a histogram: equal pieces go into equal sequences together."""
     rooms: list[int] = []
-    bins: dict[int, list[list[int]]] = defaultdict(list)
+    bins: dict[int, Counter[Config]] = defaultdict(Counter)
+
+    def add(content: Config, room: int, times: int) -> None:
+        if room not in bins:
+            insort(rooms, room)
+        bins[room][content] += times
+
     for length in sorted(left, reverse=True):
-        for _ in range(left[length]):
+        n = left[length]
+        while n:
             at = bisect_left(rooms, length)
+            room = rooms[at] if at < len(rooms) else capacity
             if at < len(rooms):
-                room = rooms.pop(at)
-                content = bins[room].pop()
+                content, open_ = bins[room].popitem()
+                each = 1
+                if room - length >= length and len(rooms) > at:
+                    # The rest of the room is the best fit again while no other room is closer.
+                    closest = rooms[at + 1] if at + 1 < len(rooms) else capacity + 1
+                    each = room // length if room - length < closest else 1
             else:
-                room, content = capacity, []
-            content.append(length)
-            insort(rooms, room - length)
-            bins[room - length].append(content)
+                content, open_, each = (), n, capacity // length
+            each = min(each, n)
+            times = min(open_, n // each)
+            if at < len(rooms):
+                if open_ > times:
+                    bins[room][content] = open_ - times
+                elif not bins[room]:
+                    del bins[room]
+                    rooms.pop(at)
+            add(tuple(sorted([*content, (length, each)])), room - each * length, times)
+            n -= each * times
     packed: Counter[Config] = Counter()
     for contents in bins.values():
-        packed.update(tuple(sorted(Counter(c).items())) for c in contents)
+        packed.update(contents)
     return packed
 
 
 def solve(
     histogram: Mapping[int, int],
     capacity: int = CAPACITY,
-    passes: int = PASSES,
     rounds: int = ROUNDS,
     rate: float = RATE,
+    resolves: int = RESOLVES,
 ) -> Counter[Config]:
     """How often each configuration is used; together they hold exactly the histogram."""
     demand = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         demand[length] = n
-    used: Counter[Config] = Counter()
-    full = int(demand[capacity])
-    if full:
-        used[((capacity, 1),)] += full
-        demand[capacity] = 0
-    for _ in range(passes):
-        if not demand.any():
-            break
-        placed = 0
-        amounts = _fractional(demand, capacity, rounds, rate)
-        for config, amount in sorted(amounts.items(), key=lambda x: (-x[1], x[0])):
-            # Full configurations may be rounded up: nothing of them is wasted.
-            waste = capacity - sum(length * n for length, n in config)
-            wanted = int(amount + (0.999 if waste == 0 else 0.0))
-            times = min(wanted, *(int(demand[length]) // n for length, n in config))
-            if times > 0:
-                used[config] += times
-                placed += times
-                for length, n in config:
-                    demand[length] -= times * n
-        if not placed:
-            break
-    rest = Counter({int(k): int(demand[k]) for k in np.flatnonzero(demand)})
-    return used + _best_fit(rest, capacity)
+    priced = _covering(demand, capacity, rounds, rate, resolves)
+    # With much of the mass at one length the plain heuristic can do better.
+    simple = _best_fit(_histogram(demand), capacity)
+    return priced if sum(priced.values()) <= sum(simple.values()) else simple
 
 
 def _plan_rows(used: Mapping[Config, int]) -> Iterator[tuple[int, int, int, int, int, int]]:

@@ -70,6 +70,39 @@ def test_solver_uses_the_histogram_exactly():
     assert sum(used.values()) <= 1.03 * -(-sum(k * n for k, n in histogram.items()) // 2048) + 1
 
 
+def test_solver_prices_nearly_all_pieces(monkeypatch):
+    rnd = random.Random(6)
+    histogram = Counter(max(1, min(2048, int(rnd.lognormvariate(5.8, 0.8)))) for _ in range(20000))
+    priced = packing._covering(np.bincount(list(histogram.elements()), minlength=2049), 2048, packing.ROUNDS, packing.RATE, packing.RESOLVES)
+    sizes = []
+    monkeypatch.setattr(packing, "_best_fit", lambda left, capacity: sizes.append(sum(left.values())) or Counter())
+    packing._covering(np.bincount(list(histogram.elements()), minlength=2049), 2048, packing.ROUNDS, packing.RATE, packing.RESOLVES)
+    assert max(sizes) < 0.15 * 20000
+    assert sum(priced.values()) <= 1.005 * -(-sum(k * n for k, n in histogram.items()) // 2048) + 1
+
+
+def test_best_fit_of_millions_is_counted():
+    rnd = random.Random(7)
+    for scale in (1, 10**6):
+        left = Counter({rnd.randint(1, 100): rnd.randint(1, 9) * scale for _ in range(25)})
+        back = Counter()
+        packed = packing._best_fit(left, 100)
+        for config, times in packed.items():
+            assert times > 0 and sum(length * n for length, n in config) <= 100
+            for length, n in config:
+                back[length] += n * times
+        assert back == left
+        if scale == 1:
+            rooms = []
+            for length in sorted(left.elements(), reverse=True):
+                room = min((r for r in rooms if r >= length), default=None)
+                if room is None:
+                    rooms.append(100 - length)
+                else:
+                    rooms[rooms.index(room)] -= length
+            assert sum(packed.values()) == len(rooms)
+
+
 def test_heap_schedule_equals_one_by_one():
     rnd = random.Random(2)
     classes = [(s, n, s * n) for s, n in ((rnd.randint(1, 500), rnd.randint(1, 200)) for _ in range(30))]
