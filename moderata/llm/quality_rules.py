@@ -43,7 +43,8 @@ MIN_REFERENCE_WORDS = 10_000
 # A histogram of few counts is far from any reference by chance alone, so a limit is
 # ``first + second / sqrt(words)``.
 CLASS_LIMIT = (0.2, 0.8)
-WORD_LIMIT = (0.22, 2.5)
+# ``n`` words drawn from a reference of 25 words and a rest are about 2.12 / sqrt(n) from it.
+WORD_LIMIT = (0.08, 2.2)
 
 
 def _term(p: Column, q: Column) -> Column:

@@ -366,6 +366,17 @@ def test_quality_rules_on_edge_rows(docs, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_text_without_common_words_is_not_kept(spark):
+    rnd = random.Random(10)
+    common = quality_rules.COMMON_WORDS["en"]
+    other = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(300)]
+    text = lambda n, share: " ".join(rnd.choice(common if rnd.random() < share else other) for _ in range(n))
+    rows = [(i, text(rnd.choice([60, 250, 900]), 0.2), "en") for i in range(60)] + [(99, text(250, 0), "en")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(table, min_reference_words=10).collect()}
+    assert not kept.pop(99) and all(kept.values())
+
+
 def test_digest_of_no_items(spark):
     table = spark.createDataFrame([(1, 0, 0, [])], "doc_id bigint, n_words bigint, n_hit bigint, items array<string>")
     assert decontamination.digest(table).first()["items_sha256"] == hashlib.sha256(b"").hexdigest()
