@@ -176,3 +176,44 @@ ORACLES["op2_line_dedup"] = r"""
     SELECT doc_id, CASE WHEN docs.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
            coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
     FROM docs LEFT JOIN kept USING (r)"""
+
+
+def _prefix_nodes() -> str:
+    # One step of the checksum for each bit of each byte of the decimal id.
+    bit = "CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END"
+    step = "xor(crc, CAST(b AS BIGINT))"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda r: {bit})[1]"
+    crc = (
+        "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''),"
+        f" lambda x: CAST(ord(x) AS BIGINT))), lambda crc, b: {step}), 4294967295)"
+    )
+    return f"""
+    WITH own AS (
+        SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS seq
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    heads AS (SELECT conv_id, seq, {crc} % 9 AS h FROM own),
+    convs AS (
+        SELECT c.conv_id, list_concat(coalesce(f.seq[1 : c.h], []), c.seq[c.h + 1 :]) AS seq
+        FROM heads c LEFT JOIN own f ON f.conv_id = c.conv_id - c.conv_id % 5),
+    prefixes AS (SELECT conv_id, len(seq) AS n, unnest(range(0, len(seq) + 1)) AS depth, seq FROM convs),
+    nodes AS (
+        SELECT seq[1 : depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+               sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+        FROM prefixes GROUP BY ALL),
+    related AS (
+        SELECT a.p AS p, b.depth - a.depth AS below, b.p AS q,
+               CASE WHEN b.depth = 0 THEN 0 ELSE (b.n_convs - 1) * strlen(b.p[b.depth].t) END AS saved
+        FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM nodes) b JOIN nodes a ON a.depth = b.d AND a.p = b.p[1 : b.d]),
+    parents AS (SELECT DISTINCT p[1 : depth - 1] AS p FROM nodes WHERE depth > 0),
+    leaves AS (SELECT p FROM nodes ANTI JOIN parents USING (p)),
+    sums AS (
+        SELECT p, count(*) FILTER (below = 1) AS n_children, sum(saved) AS saved_tokens,
+               count(*) FILTER (q IN (SELECT p FROM leaves)) AS n_leaves
+        FROM related GROUP BY p)
+    SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves,
+           CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+    FROM nodes n JOIN sums s ON n.p = s.p LEFT JOIN nodes u ON n.depth > 0 AND u.p = n.p[1 : n.depth - 1]"""
+
+
+ORACLES["op13_prefix_trie"] = _prefix_nodes()

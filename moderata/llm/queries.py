@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moderata.llm import (
-    decontamination, line_dedup, lm_scoring, ordinal, packing, quality_rules, sharding, simhash, warc, wrappers,
+    decontamination, language_crf, line_dedup, lm_scoring, ordinal, packing, prefix_trie, quality_rules, sharding, simhash,
+    warc, whitening, wrappers,
 )
 
 TOKENIZER = "word_bpe_49k.json"
@@ -85,3 +86,21 @@ def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.deduplicate(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    tagged = language_crf.tag(docs.select("doc_id", "text"), language_crf.fit(docs), spans=False)
+    held_out = F.coalesce(~language_crf.training_row(F.col("doc_id")), F.lit(False)).alias("held_out")
+    return tagged.select("doc_id", held_out, "lang_pred", "score")
+
+
+@query
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
