@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,21 @@ def test_chunks_match_brute_force(spark, budget, overlap):
         assert got.get(i, []) == brute_force(text, budget, overlap), text
 
 
+def test_many_sentences_take_time_in_proportion(spark):
+    def seconds(n):
+        text = " ".join(f"a{k % 7} b c d e f g h." for k in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+        best = []
+        for _ in range(2):
+            began = time.perf_counter()
+            assert chunking.chunk(df, chunk_size=64, chunk_overlap=24).count() > n / 8
+            best.append(time.perf_counter() - began)
+        return min(best)
+
+    seconds(1000)
+    assert seconds(64_000) < 3 * seconds(32_000)
+
+
 def test_chunk_metadata_is_carried_or_joined(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     carried = chunking.chunk(docs, carry=["lang"]).select("node_id", "lang")
