@@ -58,7 +58,7 @@ def encode(
     bounded; the ids are put together again in the task that split them and only
     whole arrays are shuffled. ``row_id`` must be unique.
     """
-    vocabulary = vocabulary.select(F.col("token").alias("_token"), "token_id", "n")
+    vocabulary = vocabulary.select(F.col("token").alias("_token"), "token_id")
     pieces = df.select(
         row_id,
         *carry,
@@ -69,7 +69,6 @@ def encode(
         vocabulary,
         ["_token"],
         row_id=[row_id],
-        matches="n",
         how="left",
         broadcast_rows=broadcast_rows,
         rows_per_task=rows_per_task,

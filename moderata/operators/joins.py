@@ -15,6 +15,9 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_TASK = 4_000_000
 NULL_PARTS = 1024
+# Keys that a sketch tracks, and how many of the heaviest it names.
+TRACKED = 10_000
+HEAVY = 1_000
 
 
 def _width(name: str, kind: str) -> Column:
@@ -44,13 +47,25 @@ def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     return F.broadcast(small) if fits(small, max_rows) else small
 
 
+def heavy_keys(facts: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> dict[int, int]:
+    """Hash of the keys that hold more than ``rows_per_task`` of ``facts``, and over how many tasks to deal each.
+
+    A heavy-hitter sketch counts the facts themselves: every task keeps at most ``TRACKED`` keys, the sketches
+    are merged, and the driver gets at most ``TRACKED`` of them. A key with more than about ``rows / TRACKED`` facts
+    cannot be missed, a null key and one that no lookup knows included.
+    """
+    sketch = F.expr(f"approx_top_k(_key, {HEAVY}, {TRACKED})")
+    top = facts.select(F.xxhash64(*on).alias("_key")).agg(sketch.alias("top")).first()["top"]
+    return {t["item"]: -(-t["count"] // rows_per_task) for t in top or [] if t["count"] > rows_per_task}
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
     *,
     row_id: Sequence[str | Column],
-    matches: str,
+    matches: str | None = None,
     how: str = "inner",
     settled: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
@@ -58,30 +73,51 @@ def lookup_join(
 ) -> DataFrame:
     """Join many ``facts`` to a ``lookup`` table with one row per key.
 
-    ``matches`` names a lookup column that says how many facts share the key; it
-    is dropped from the result. The lookup is settled first (unless ``settled``
-    says that it is a stored table already), so its size is known:
+    The lookup is settled first (unless ``settled`` says that it is a stored table already), so its size is known:
 
     * up to ``broadcast_rows`` rows and ``BROADCAST_BYTES`` it is broadcast and the facts do not move;
-    * beyond that the facts of a key with more than ``rows_per_task`` matches are
-      dealt by a hash of ``row_id`` over several tasks, and only that key's
-      lookup row is repeated. The list of such keys has at most
-      ``total matches / rows_per_task`` entries, which bounds its broadcast.
-      Facts with a null key match nothing and are dealt over ``NULL_PARTS``.
+    * beyond that the facts of a key with more than ``rows_per_task`` of them are dealt by a hash of ``row_id``
+      over several tasks, and only that key's lookup row is repeated. The heavy keys are found by
+      :func:`heavy_keys`, which reads the facts' keys once more.
+
+    ``matches`` names a lookup column that says how many facts share the key, where that has been counted; it is
+    dropped from the result and spares the sketch. Facts with a null key match nothing and are
+    dealt over ``NULL_PARTS`` then.
     """
     on = list(on)
     lookup = lookup if settled else settle(lookup)
     if fits(lookup, broadcast_rows):
-        return facts.join(F.broadcast(lookup.drop(matches)), on, how)
+        return facts.join(F.broadcast(lookup.drop(matches) if matches else lookup), on, how)
+    if matches is None:
+        return _dealt_by_sketch(facts, lookup, on, row_id, how, rows_per_task)
 
     parts = F.ceil(F.col(matches) / F.lit(rows_per_task)).cast("int")
     lookup = lookup.withColumn("_parts", F.greatest(parts, F.lit(1))).drop(matches)
-    hot = lookup.where("_parts > 1").select(*on, "_parts")
+    # At most ``total matches / rows_per_task`` rows.
+    hot = checked_broadcast(settle(lookup.where("_parts > 1").select(*on, "_parts")))
     has_null = reduce(or_, [F.col(c).isNull() for c in on])
     n_parts = F.when(has_null, F.lit(NULL_PARTS)).otherwise(F.coalesce("_parts", F.lit(1)))
-    dealt = facts.join(F.broadcast(hot), on, "left").withColumn(
+    dealt = facts.join(hot, on, "left").withColumn(
         "_part",
         F.pmod(F.xxhash64(*row_id), n_parts).cast("int"),
     )
+    return _joined_parts(dealt.drop("_parts"), lookup, on, how)
+
+
+def _dealt_by_sketch(
+    facts: DataFrame, lookup: DataFrame, on: list[str], row_id: Sequence[str | Column], how: str, rows_per_task: int
+) -> DataFrame:
+    heavy = heavy_keys(facts, on, rows_per_task)
+    if not heavy:
+        return facts.join(lookup, on, how)
+    # At most HEAVY entries.
+    known = F.create_map(*[F.lit(x).cast("bigint") for pair in sorted(heavy.items()) for x in pair])
+    n_parts = F.coalesce(known[F.xxhash64(*on)], F.lit(1)).cast("int")
+    dealt = facts.withColumn("_part", F.pmod(F.xxhash64(*row_id), n_parts).cast("int"))
+    return _joined_parts(dealt, lookup.withColumn("_parts", n_parts), on, how)
+
+
+def _joined_parts(dealt: DataFrame, lookup: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Facts with a ``_part`` joined to lookup rows that are repeated for each of their ``_parts``."""
     repeated = lookup.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    return dealt.drop("_parts").join(repeated.drop("_parts"), [*on, "_part"], how).drop("_part")
+    return dealt.join(repeated.drop("_parts"), [*on, "_part"], how).drop("_part")

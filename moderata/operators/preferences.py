@@ -33,16 +33,22 @@ def with_heads(
     broadcast_rows: int = BROADCAST_ROWS,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Add ``system`` and ``first_user`` of the conversation to rows with ``conv_id, turn``."""
-    return lookup_join(
-        rows,
-        conversation_heads(turns),
-        ["conv_id"],
+    """Add ``system`` and ``first_user`` of the conversation to rows with ``conv_id, turn``.
+
+    Rows without a ``conv_id`` are one conversation, as they are in :func:`turn_pairs`.
+    """
+    # A null id is a value of the key.
+    key = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("id"))
+    joined = lookup_join(
+        rows.withColumn("_conv", F.to_json(key)),
+        conversation_heads(turns).withColumn("_conv", F.to_json(key)).drop("conv_id"),
+        ["_conv"],
         row_id=["turn"],
         matches="_turns",
         broadcast_rows=broadcast_rows,
         rows_per_task=rows_per_task,
     )
+    return joined.drop("_conv")
 
 
 def turn_pairs(turns: DataFrame) -> DataFrame:

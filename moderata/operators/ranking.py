@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
@@ -15,6 +16,9 @@ from moderata.session import settle
 # 4 hex digits = 65,536 buckets of equal expected size: at 100 billion rows one
 # bucket holds about 1.5 million keys.
 PREFIX_DIGITS = 4
+# Hex digits of a key, and how many keys are sorted at the end of a selection.
+KEY_DIGITS = 32
+FEW_KEYS = 1024
 
 
 def order_key(row_id: str | Column, seed: int = 42) -> Column:
@@ -95,11 +99,11 @@ def with_split(
 ) -> DataFrame:
     """Mark exactly ``ceil(test_size * n)`` rows as test, the rest as train.
 
-    The rows themselves are never shuffled. Two small jobs find the last test
-    key: counts per key prefix (at most ``16 ** prefix_digits`` rows) give the
-    bucket in which the cut falls, and only that bucket is ordered. The result
+    The rows themselves are never shuffled. The last test key is found digit by digit, as in a radix
+    selection: counts per next ``prefix_digits`` digits of the key (at most ``16 ** prefix_digits`` rows) say in which
+    prefix the cut falls, and that prefix is counted further until it holds at most ``FEW_KEYS`` keys. The result
     compares each row's key with that one value, so using it again costs nothing.
-    ``row_id`` must be unique.
+    ``row_id`` must be unique; a null one is an error.
 
     With ``group_by`` the key is taken from that column, so equal values stay on
     one side; the cut is then a share of the key range and sizes are approximate.
@@ -111,22 +115,36 @@ def with_split(
         return df.withColumn(name, place < F.lit(int(test_size * 16**15)))
 
     key = order_key(row_id, seed)
-    keys = df.select(key.alias("_key"), F.substring(key, 1, prefix_digits).alias("_bucket"))
-    counts = keys.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    cut = (
-        counts.withColumn("_upto", F.sum("_n").over(running))
-        .withColumn("_wanted", F.ceil(F.lit(float(test_size)) * F.sum("_n").over(everything)))
-        .where((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_n") < F.col("_wanted")))
-        .select("_bucket", (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_need"))
-    )
-    found = cut.first()
-    if found is None:
+    keys = df.select(key.alias("_key"))
+    sizes = _prefix_sizes(keys, "", prefix_digits)
+    if None in sizes:
+        raise ValueError(f"{sizes[None]} rows have no {row_id}, so they have no place in a split")
+    need = math.ceil(float(test_size) * sum(sizes.values()))
+    if not need:
         return df.withColumn(name, F.lit(False))
-    in_bucket = keys.where(F.col("_bucket") == found["_bucket"]).select("_key").orderBy("_key")
-    last_test_key = in_bucket.offset(found["_need"] - 1).first()["_key"]
-    return df.withColumn(name, F.coalesce(key <= F.lit(last_test_key), F.lit(False)))
+    prefix = ""
+    while True:
+        for digits in sorted(sizes):
+            if need <= sizes[digits]:
+                break
+            need -= sizes[digits]
+        prefix += digits
+        if len(prefix) >= KEY_DIGITS or sizes[digits] <= FEW_KEYS:
+            break
+        sizes = _prefix_sizes(keys, prefix, prefix_digits)
+    last = prefix
+    if len(prefix) < KEY_DIGITS:
+        few = sorted(r["_key"] for r in keys.where(F.startswith("_key", F.lit(prefix))).collect())
+        last = few[need - 1]
+    return df.withColumn(name, F.coalesce(key <= F.lit(last), F.lit(False)))
+
+
+def _prefix_sizes(keys: DataFrame, prefix: str, digits: int) -> dict[str | None, int]:
+    """Rows by the next digits of their key, of those that begin with ``prefix``; at most ``16 ** digits`` entries."""
+    if prefix:
+        keys = keys.where(F.startswith("_key", F.lit(prefix)))
+    counts = keys.groupBy(F.substring("_key", len(prefix) + 1, digits).alias("_digits")).count()
+    return {r["_digits"]: r["count"] for r in counts.collect()}
 
 
 def split(df: DataFrame, row_id: str, test_size: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -211,26 +229,26 @@ def with_batch(
     ).drop("_position")
 
 
-def with_next(
-    df: DataFrame, group_by: str, order_by: str, columns: Sequence[str], span: int = 4096
-) -> DataFrame:
+def with_next(df: DataFrame, group_by: str, order_by: str, columns: Sequence[str]) -> DataFrame:
     """Add ``next_<column>`` from the following row of the group, null at its end.
 
-    A group is cut into spans of ``order_by`` values. Inside a span a window
-    looks ahead; the last row of a span takes the first row of the group's next
-    span, so a huge group is never sorted in one task.
+    Rows are range-partitioned by group and order, so a group of any size and any spread of values is on
+    many tasks. A window looks ahead inside a partition; the last row of a group in a partition takes the
+    group's first row in the next partition that has one, from a table with one row per group and
+    partition. ``order_by`` must be unique inside a group. Rows with a null group are a group too.
     """
     row = F.struct(*[F.col(c) for c in columns])
-    cut = df.withColumn("_span", F.floor(F.col(order_by) / F.lit(span)))
-    ahead = Window.partitionBy(group_by, "_span").orderBy(order_by)
-    inside = cut.withColumn("_next", F.lead(row).over(ahead))
-    following = Window.partitionBy(group_by).orderBy("_span")
-    heads = (
-        cut.groupBy(group_by, "_span")
-        .agg(F.min_by(row, F.col(order_by)).alias("_head"))
-        .withColumn("_head", F.lead("_head").over(following))
-    )
-    joined = _join_null_safe(inside, heads, [group_by, "_span"])
+    ordered = df.repartitionByRange(group_by, order_by).withColumn("_block", F.spark_partition_id())
+    placed = settle(ordered)
+    ahead = Window.partitionBy(group_by, "_block").orderBy(order_by)
+    inside = placed.withColumn("_next", F.lead(row).over(ahead))
+    following = Window.partitionBy(group_by).orderBy("_block")
+    # At most partitions + groups rows.
+    heads = placed.groupBy(group_by, "_block").agg(F.min_by(row, F.col(order_by)).alias("_head"))
+    stitched = heads.withColumn("_head", F.lead("_head").over(following)).where(F.col("_head").isNotNull())
+    stitched = stitched.withColumnsRenamed({group_by: "_right_group", "_block": "_right_block"})
+    same = F.col(group_by).eqNullSafe(F.col("_right_group")) & (F.col("_block") == F.col("_right_block"))
+    joined = inside.join(checked_broadcast(settle(stitched)), same, "left")
     following_row = F.coalesce("_next", "_head")
     added = {f"next_{c}": following_row[c] for c in columns}
-    return joined.withColumns(added).drop("_span", "_next", "_head")
+    return joined.withColumns(added).drop("_right_group", "_right_block", "_block", "_next", "_head")

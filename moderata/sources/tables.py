@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moderata.functions import text as tx
+from moderata.sources.delimited import read_delimited
 
 # Field contents that mean null in a delimited file.
 NULL_WORDS = (
@@ -45,17 +46,9 @@ def read_tsv(spark: SparkSession, path: str | list[str], schema: T.StructType) -
     Columns are taken by their names in the header: their order is free, others are
     ignored and a missing one is an error. All files must have the same header.
     Fields are read as text, the usual null words become null, then each column
-    is cast to its type in ``schema``.
+    is cast to its type in ``schema``. A file of any size is read by many tasks.
     """
-    df = (
-        spark.read.option("sep", "\t")
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", True)
-        .csv(path)
-    )
+    df = read_delimited(spark, path)
     return df.select(
         *[_null_words(F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in schema.fields]
     )

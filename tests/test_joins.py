@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from moderata.operators.joins import lookup_join
+from moderata.operators.joins import heavy_keys, lookup_join
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -41,3 +41,36 @@ def test_hot_key_is_spread(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum(r["count"] for r in sizes) == 10000
     assert len(sizes) > 1 and max(r["count"] for r in sizes) < 10000
+
+
+def spread_of(joined):
+    """Rows of the joined table by the task that made them."""
+    counts = joined.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    return sorted((r["count"] for r in counts), reverse=True)
+
+
+@pytest.mark.parametrize("token", ["absent", None, "t5"])
+def test_a_key_is_dealt_by_the_facts_own_count(spark, token):
+    facts = spark.range(100_000).select(
+        "id", F.when(F.col("id") % 10 == 0, F.concat(F.lit("t"), (F.col("id") % 997).cast("string"))).otherwise(F.lit(token)).alias("t")
+    )
+    lookup = spark.range(997).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("t"), F.col("id").alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = lookup_join(facts, lookup, ["t"], row_id=["id"], how="left", broadcast_rows=0, rows_per_task=1000)
+        sizes = spread_of(joined)
+        rows = {r["id"]: r["n"] for r in joined.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == len(rows) == 100_000 and sizes[0] < 45_000
+    want = {"t5": 5}.get(token)
+    assert all(n == (i % 997 if i % 10 == 0 else want) for i, n in rows.items())
+
+
+def test_heavy_keys_are_found_whatever_the_lookup(spark):
+    facts = spark.range(50_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    heavy = heavy_keys(facts, ["k"], 1000)
+    # The sketch may count a little too much.
+    assert len(heavy) == 1 and 25 <= next(iter(heavy.values())) <= 30 and heavy_keys(facts.limit(0), ["k"]) == {}

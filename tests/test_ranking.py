@@ -1,10 +1,12 @@
 import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from moderata.session import settle
 from moderata.operators import evaluate, ranking
 
 
@@ -98,22 +100,45 @@ def test_batches_keep_order_and_the_short_rest(spark):
     assert all(r.batch_id == r.id // 32 for r in rows)
 
 
-@pytest.mark.parametrize("span", [1, 3, 4096])
-def test_next_row_across_spans(spark, span):
-    rows = [(g, t, f"{g}{t}") for g, n in (("a", 40), ("b", 3), ("c", 1)) for t in range(n) if t % 5 != 3]
-    df = spark.createDataFrame(rows, "g string, t bigint, v string")
-    got = ranking.with_next(df, "g", "t", ["v"], span=span)
+def test_next_row_is_stitched_over_partitions(spark):
+    rng = random.Random(3)
+    # One group with most rows, its timestamps sparse and uneven, beside small ones.
+    stamps = sorted({int(10 ** rng.uniform(0, 15)) for _ in range(1500)})
+    rows = [("hot", t, f"v{t}") for t in stamps] + [(f"g{g}", t, f"{g}{t}") for g in range(60) for t in range(0, 5 * (g % 4), 5)]
+    df = spark.createDataFrame(rows, "g string, t bigint, v string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = settle(ranking.with_next(df, "g", "t", ["v"]))
+        blocks = df.repartitionByRange("g", "t").withColumn("b", F.spark_partition_id()).where("g = 'hot'")
+        assert blocks.select("b").distinct().count() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = df.withColumn("next_v", F.lead("v").over(Window.partitionBy("g").orderBy("t")))
     columns = ["g", "t", "next_v"]
     assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
 
 
+@pytest.mark.parametrize("digits", [1, 4])
+def test_split_by_radix_selection(spark, monkeypatch, digits):
+    monkeypatch.setattr(ranking, "FEW_KEYS", 3)
+    df = spark.range(500)
+    want = set(sorted(range(500), key=key)[:101])
+    assert {r.id for r in ranking.with_split(df, "id", 0.2019, prefix_digits=digits).where("is_test").collect()} == want
+    assert ranking.with_split(df, "id", 0.0).where("is_test").count() == 0
+    assert ranking.with_split(df, "id", 1.0).where("is_test").count() == 500
+    assert ranking.with_split(df.limit(0), "id", 0.5).count() == 0
+    same = spark.createDataFrame([(1,)] * 20, "id int")
+    assert ranking.with_split(same, "id", 0.1, prefix_digits=digits).where("is_test").count() == 20
+    with pytest.raises(ValueError, match="1 rows have no id"):
+        ranking.with_split(spark.createDataFrame([(1,), (None,)], "id int"), "id", 0.5)
+
+
 def test_null_groups_keep_their_rows(spark):
     rows = [(1, 1), (1, 2), (None, 3), (None, 4)]
     df = spark.createDataFrame(rows, "g int, t int")
     placed = ranking.with_position(df, ["t"], group_by=["g"]).collect()
     assert sorted((r.t, r.g, r.position) for r in placed) == [(1, 1, 1), (2, 1, 2), (3, None, 1), (4, None, 2)]
-    following = ranking.with_next(df, "g", "t", ["t"], span=1).collect()
+    following = ranking.with_next(df, "g", "t", ["t"]).collect()
     assert sorted((r.t, r.next_t) for r in following) == [(1, 2), (2, None), (3, 4), (4, None)]
     steps = evaluate.progress_rows(evaluate.with_step(df, ["t"], epoch="g"), epoch="g", every=1).collect()
     assert sorted((r.t, r.g, r.steps) for r in steps) == [(2, 1, 2), (4, None, 2)]

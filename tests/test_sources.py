@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -7,6 +8,7 @@ from pyspark.sql import types as T
 
 from moderata.functions import labels as lb
 from moderata.sources import index_store, registry
+from moderata.sources.delimited import read_delimited
 from moderata.sources.tables import NULL_WORDS, page_documents, read_tsv, read_with_row_id
 from moderata.streaming import files
 
@@ -135,3 +137,40 @@ def test_tsv_columns_by_name(spark, tmp_path):
     assert [tuple(r) for r in found.collect()] == [(7, "Neutral")]
     with pytest.raises(AnalysisException):
         read_tsv(spark, str(tmp_path), T.StructType.fromDDL("id int, text string"))
+
+
+def plain_rows(spark, path):
+    read = spark.read.options(sep="\t", header=True, quote='"', escape='"', multiLine=True)
+    return sorted(map(str, read.csv(path).collect()))
+
+
+@pytest.mark.parametrize("size", ["37", "64", "1000", "100000"])
+def test_delimited_rows_do_not_depend_on_byte_ranges(spark, tmp_path, size):
+    rng = random.Random(int(size))
+    cells = ["a", "", "x y", '"q"', '"two\nlines"', '"a ""b"" c"', '"""start"', '"tab\there"', 'in"side', '"\n\n"', '"end"""', "é", '"l1\n""l2""\n\nl4"']
+    for name, end in (("a", "\n"), ("b", "\r\n")):
+        lines = ["id\ttext\tnote"] + [
+            f"{k}\t{rng.choice(cells)}\t{rng.choice(cells)}".replace("\n", end) for k in range(150)
+        ]
+        (tmp_path / f"{name}.tsv").write_bytes((end.join(lines) + end * rng.randint(0, 2)).encode())
+    kept = {c: spark.conf.get(c, None) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for name in "ab":
+            got = read_delimited(spark, str(tmp_path / f"{name}.tsv"))
+            assert got.columns == ["id", "text", "note"]
+            assert sorted(map(str, got.collect())) == plain_rows(spark, str(tmp_path / f"{name}.tsv"))
+        if size == "37":
+            assert spark.read.option("lineSep", "\n").text(str(tmp_path / "a.tsv")).rdd.getNumPartitions() > 20
+        assert read_delimited(spark, [str(tmp_path / "a.tsv"), str(tmp_path / "b.tsv")]).count() == 300
+    finally:
+        for c, value in kept.items():
+            spark.conf.set(c, value) if value is not None else spark.conf.unset(c)
+
+
+def test_files_need_one_header(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("a\tb\n1\t2\n")
+    (tmp_path / "b.tsv").write_text("a\tc\n1\t2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        read_delimited(spark, str(tmp_path))
