@@ -6,6 +6,7 @@ import tempfile
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,33 @@ def kept(kind: str, key: object, make: Callable[[], object], limit: int = 4) ->
     return tables[key]
 
 
+# Bytes of the values that one table of a worker remembers, and what an entry takes beside its key and value.
+REMEMBERED_BYTES = 24 << 20
+ENTRY_BYTES = 180
+
+
+class Remembered(dict):
+    """Values made at their first look-up; beyond ``REMEMBERED_BYTES`` the table starts anew."""
+
+    def __init__(self, make: Callable[[Any], Any]) -> None:
+        self.make = make
+        self.size = 0
+
+    def __missing__(self, key: Any) -> Any:
+        value = self.make(key)
+        self.size += ENTRY_BYTES + len(key) + (len(value) if isinstance(value, bytes) else 0)
+        if self.size > REMEMBERED_BYTES:
+            self.clear()
+            self.size = ENTRY_BYTES
+        self[key] = value
+        return value
+
+
+def forget() -> None:
+    """Give up what the worker keeps for the operators of earlier stages."""
+    _KEPT.clear()
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moderata.llm.common import fresh, ship
+from moderata.llm.common import forget, fresh, ship
 
 N_GRADES = 3
 N_FEATURES = 1 << 18
@@ -177,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def extracted(texts: pd.Series) -> pd.Series:
+        forget()
         return texts.map(features)
 
     rated = labels.select("doc_id", grades(F.col("quality"), F.col("toxic")).alias("grade")).where(
@@ -203,6 +204,7 @@ def score(text: Column, model: Model, spark_context: object) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def scored(texts: pd.Series) -> pd.Series:
+        forget()
         own = Model(shared.value, np.zeros(0))
         return pd.Series([own.score(t) for t in texts], dtype="float64")
 

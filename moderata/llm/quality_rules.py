@@ -190,7 +190,8 @@ def class_distance() -> Column:
     pairs = [(F.col(f"n_{name}") / total, F.col(f"q_{name}")) for name in CLASSES]
     left = [F.greatest(1 - sum(side, F.lit(0.0)), F.lit(0.0)) for side in zip(*pairs, strict=True)]
     terms = [_term(p, q) for p, q in [*pairs, tuple(left)]]
-    return F.when(F.col("n_words") >= MIN_WORDS, _distance(sum(terms, F.lit(0.0))))
+    known = F.col(f"q_{CLASSES[0]}").isNotNull()
+    return F.when((F.col("n_words") >= MIN_WORDS) & known, _distance(sum(terms, F.lit(0.0))))
 
 
 def word_distance() -> Column:

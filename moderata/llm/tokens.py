@@ -5,12 +5,9 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable
 
-from moderata.llm.common import kept
+from moderata.llm.common import Remembered, kept
 
-# Words and parts kept between tasks; beyond that the worker starts anew.
-MAX_REMEMBERED = 600_000
 # str.split() also splits at these four, which are no white space for the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile(r"[^\S\x1c-\x1f]+")
@@ -20,17 +17,6 @@ _PARTS = re.compile(
 )
 
 
-class _Known(dict):
-    """Values made at their first look-up."""
-
-    def __init__(self, make: Callable[[str], bytes]) -> None:
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        value = self[key] = self.make(key)
-        return value
-
-
 def _byte_letters() -> dict[int, int]:
     """The letter that stands for each byte: printable bytes for themselves, the others from 256 up."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -54,15 +40,12 @@ class TextTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.parts = _Known(self._part)
-        self.latin = _Known(self._latin_word)
-        self.words = _Known(self._word)
+        self.parts = Remembered(self._part)
+        self.latin = Remembered(self._latin_word)
+        self.words = Remembered(self._word)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text; none for null."""
-        for known in (self.parts, self.latin, self.words):
-            if len(known) > MAX_REMEMBERED:
-                known.clear()
         if not text:
             return b""
         if _latin(text):
