@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from moderata.functions import arrays as ar
 from moderata.functions import labels as lb
 from moderata.functions import text as tx
-from moderata.operators import chunking, classify, curate, encode, evaluate, preferences, ranking, retrieval
+from moderata.operators import chunking, classify, curate, encode, evaluate, logistic, preferences, ranking, retrieval
 from moderata.session import new_folder, settle, spread
 from moderata.sources import index_store, metrics, model_store, registry
 from moderata.sources.tables import page_documents, read_table, read_tsv
@@ -372,6 +372,16 @@ def index_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return index.nodes.select("node_id", "doc_id", "n_words", "lang", F.size("terms").alias("n_terms"))
 
 
+@query
+def manifest_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON manifests of a hundred documents each are written to the shared folder and read again."""
+    path = new_folder(spark, "manifest")
+    chunks = chunking.chunk(_documents(spark, folder))
+    part = F.concat(F.lit("part"), F.floor(F.col("doc_id") / 100).cast("string"))
+    index_store.write_json_manifest(chunks, path, part)
+    return index_store.read_json_manifest(spark, path, whole=False)
+
+
 @query
 def json_props(spark: SparkSession, folder: str) -> DataFrame:
     props = F.from_json("props", "map<string,bigint>")
@@ -473,8 +483,7 @@ def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def lr_predict(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _holdout(spark, folder)
-    scored = classify.score_logistic(test, classify.train_logistic(train), "doc_id", carry=["label"])
-    return scored.select("doc_id", "label", "pred")
+    return logistic.score(test, logistic.train(train, "doc_id"), "doc_id", carry=["label"])
 
 
 @query
@@ -489,6 +498,12 @@ def accuracy_overall(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.accuracy(_predictions(spark, folder))
 
 
+@query
+def accuracy_observed(spark: SparkSession, folder: str) -> DataFrame:
+    """Accuracy taken while the scored rows are written."""
+    return evaluate.observed_accuracy(_predictions(spark, folder), settle)[1]
+
+
 @query
 def accuracy_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.accuracy_rollup(_predictions(spark, folder).withColumnRenamed("lang", "dataset"))
@@ -575,3 +590,23 @@ def stream_labels(spark: SparkSession, folder: str) -> DataFrame:
     events = files.read_stream(spark, folder, schema, "events.parquet")
     files.append_stream(events, path, label).awaitTermination()
     return spark.read.parquet(path)
+
+
+@query
+def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Test texts arrive in files and are scored batch by batch; the first batch is replayed."""
+    train, test = _holdout(spark, folder)
+    model = settle(classify.train_naive_bayes(train))
+    arriving, path = new_folder(spark, "arriving"), new_folder(spark, "scores")
+    test.select("doc_id", "text").repartition(4, "doc_id").write.parquet(arriving)
+    batches = []
+
+    def score(batch: DataFrame) -> DataFrame:
+        scored = classify.score_naive_bayes(batch, model, "doc_id").select("doc_id", "pred")
+        batches.append(settle(scored))
+        return batches[-1]
+
+    stream = files.read_stream(spark, arriving, spark.read.parquet(arriving).schema, max_files=1)
+    files.merge_batches(stream, path, score).awaitTermination()
+    files.merge_batch(batches[0], 0, path)
+    return spark.read.parquet(path).select("doc_id", "pred")

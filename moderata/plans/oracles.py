@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from moderata.operators import logistic
+
 from moderata.functions import text as tx
 
 _TOKEN = r"[\p{L}\p{N}]+"
@@ -506,3 +508,38 @@ FROM steps WHERE step % 40 = 0 AND step <> 0""",
     + "SELECT 'events' AS run, epoch, step, loss FROM steps WHERE step % 100 = 0 AND step > 0",
     "stream_labels": f"SELECT event_id, {_above('value', 'CAST(50 AS DOUBLE)')} AS label FROM events",
 }
+
+
+def _logistic() -> str:
+    """The steps of ``operators.logistic`` one after another, with its constants."""
+    scaled = lambda name: f"""
+{name}_cnt AS (
+  SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens('text')}) AS token FROM {name}) GROUP BY ALL),
+{name}_x AS MATERIALIZED (
+  SELECT doc_id, token, tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)) AS x FROM {name}_cnt
+  UNION ALL SELECT doc_id, '', CAST(1 AS DOUBLE) FROM {name})"""
+    margins = lambda name, step: f"""
+  SELECT doc_id, sum(x * coalesce(weight, 0)) AS margin FROM {name}_x LEFT JOIN w{step} USING (token) GROUP BY doc_id"""
+    parts = ["w0 AS (SELECT '' AS token, CAST(0 AS DOUBLE) AS weight)"]
+    for k in range(logistic.STEPS):
+        parts.append(f"""
+w{k + 1} AS MATERIALIZED (
+  SELECT token, coalesce(any_value(weight), 0) * (1 - CAST({logistic.RATE} AS DOUBLE) * CAST({logistic.DECAY} AS DOUBLE))
+         + CAST({logistic.RATE} AS DOUBLE) * sum(x * missed) / any_value(n) AS weight
+  FROM train_x JOIN (
+    SELECT doc_id, label - 1 / (1 + exp(-margin)) AS missed, count(*) OVER () AS n
+    FROM train JOIN ({margins("train", k)}) USING (doc_id)) USING (doc_id) LEFT JOIN w{k} USING (token)
+  GROUP BY token)""")
+    head = _with(_HOLDOUT, scaled("train"), scaled("test"), *parts)
+    return f"""{head}
+SELECT doc_id, label, logit, CAST(logit > 0 AS BIGINT) AS pred
+FROM (SELECT doc_id, label, round(margin, {logistic.DIGITS}) + 0.0 AS logit
+      FROM test JOIN ({margins("test", logistic.STEPS)}) USING (doc_id))"""
+
+
+ORACLES["lr_predict"] = _logistic()
+ORACLES["accuracy_observed"] = ORACLES["accuracy_overall"]
+ORACLES["stream_scores"] = ORACLES["model_roundtrip"]
+ORACLES["manifest_nodes"] = _with(_chunks("documents"), recursive=True) + """
+SELECT 'part' || CAST(doc_id // 100 AS VARCHAR) AS index_key, 'vector_store' AS type,
+       'part' || CAST(doc_id // 100 AS VARCHAR) AS index_id, node_id, node_id AS ref_id FROM chunks"""

@@ -47,6 +47,25 @@ def append_stream(
     )
 
 
+def merge_batches(
+    df: DataFrame, path: str, transform: Callable[[DataFrame], DataFrame], checkpoint: str | None = None
+) -> StreamingQuery:
+    """Run a grouped ``transform`` on each micro-batch and keep its rows in ``path``, once whatever is replayed.
+
+    For operators that count, rank or join inside what has arrived, such as scoring or top-k retrieval of new rows.
+    """
+    return process_batches(df, lambda batch, number: merge_batch(batch.transform(transform), number, path), checkpoint)
+
+
+def merge_batch(rows: DataFrame, number: int, path: str) -> None:
+    """The rows of one micro-batch take the place of what the same batch wrote before.
+
+    A batch has a folder of its own, named by its number. A batch that failed half way or is run again after a
+    restart overwrites its folder alone, so the table is as after one run.
+    """
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+
 def process_batches(
     df: DataFrame,
     handle: Callable[[DataFrame, int], None],

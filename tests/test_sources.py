@@ -174,3 +174,22 @@ def test_files_need_one_header(spark, tmp_path):
     (tmp_path / "b.tsv").write_text("a\tc\n1\t2\n")
     with pytest.raises(ValueError, match="different headers"):
         read_delimited(spark, str(tmp_path))
+
+
+def test_manifests_of_mixed_shapes(spark, tmp_path):
+    text = {"__type__": "a", "__data__": json.dumps({"index_id": "i1", "nodes_dict": {"n1": "r1"}, "more": [1, {"x": 2}]})}
+    plain = {"__type__": 5, "__data__": {"index_id": "i2", "nodes_dict": {"n2": "r2", "n3": None}}, "other": True}
+    odd = {"__data__": "no json"}
+    lines = [{"index_store/data": {"k1": text, "k2": plain, "k3": odd, "k4": {}}, "beside": 1}, {"nothing": 1}, [1], "x"]
+    (tmp_path / "m.txt").write_text("\n".join([*map(json.dumps, lines), "{broken"]))
+    rows = index_store.read_json_manifest(spark, str(tmp_path / "m.txt"), whole=False).collect()
+    assert sorted(map(tuple, rows), key=str) == [
+        ("k1", "a", "i1", "n1", "r1"), ("k2", "5", "i2", "n2", "r2"), ("k2", "5", "i2", "n3", None),
+    ]
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    rows = spark.range(10)
+    for number, part in ((0, "id < 4"), (1, "id >= 4"), (0, "id < 4")):
+        files.merge_batch(rows.where(part), number, str(tmp_path / "t"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "t")).collect()) == list(range(10))
