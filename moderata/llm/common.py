@@ -105,11 +105,19 @@ def forget() -> None:
 _SHIPPED: set[str] = set()
 
 
+# Rows of an Arrow batch: texts are long, and a worker holds a batch in several forms at a time.
+BATCH_ROWS = 1024
+_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, once per application.
 
-    Functions that keep tables between tasks must be imported there, not pickled.
+    Functions that keep tables between tasks must be imported there, not pickled. The session's Arrow
+    batches are limited to ``BATCH_ROWS`` rows, or fewer if it asks for fewer.
     """
+    if not 0 < int(spark.conf.get(_ROWS_CONF)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS_CONF, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
