@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -66,7 +69,7 @@ def kept(kind: str, key: object, make: Callable[[], object], limit: int = 4) ->
     operators are never held together.
     """
     if kind not in _KEPT:
-        _KEPT.clear()
+        forget()
     tables = _KEPT.setdefault(kind, {})
     if key not in tables:
         if len(tables) >= limit:
@@ -76,7 +79,7 @@ def kept(kind: str, key: object, make: Callable[[], object], limit: int = 4) ->
 
 
 # Bytes of the values that one table of a worker remembers, and what an entry takes beside its key and value.
-REMEMBERED_BYTES = 24 << 20
+REMEMBERED_BYTES = 16 << 20
 ENTRY_BYTES = 180
 
 
@@ -98,8 +101,12 @@ class Remembered(dict):
 
 
 def forget() -> None:
-    """Give up what the worker keeps for the operators of earlier stages."""
-    _KEPT.clear()
+    """Give up what the worker keeps for the operators of earlier stages, and the memory it stood in."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # not this C library
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 _SHIPPED: set[str] = set()

@@ -307,6 +307,8 @@ def clean(
                 rows.append((cut(text, joined), n_hit / len(tokens)) if joined else (text, 0.0))
             yield pd.DataFrame(rows, columns=["text", "coverage"])
 
+    # Else the filter below would be put under it, with a second run of its own.
+    without = without.asNondeterministic()
     return (
         docs.withColumn(cleaned, without(F.col("text")))
         .where(F.col(cleaned)["coverage"] <= max_coverage)

@@ -180,6 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         forget()
         return texts.map(features)
 
+    # Else the filter on its size would run it a second time.
+    extracted = extracted.asNondeterministic()
     rated = labels.select("doc_id", grades(F.col("quality"), F.col("toxic")).alias("grade")).where(
         F.col("doc_id").isNotNull() & F.col("grade").isNotNull()
     )
