@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its shingles of five words (a shorter line is one shingle). The
-shingles of a line are put in one order for the whole corpus; two lines with Jaccard
+shingles of a line are put in one order for the whole corpus; equal sets are one from here on; two lines with Jaccard
 similarity of 0.8 or more must share one of the first few, their prefix. The order is
 rare before frequent. Prefixes are first taken by hash alone; the lines with a shingle
 that ``FREQUENT`` prefixes have are counted in full, and the shingles that
@@ -121,19 +121,22 @@ def _at(*columns: str) -> Column:
     return F.struct(*(columns or HERE))
 
 
-def _rows(sets: DataFrame) -> DataFrame:
-    """One row per line and prefix shingle."""
-    return sets.select("set_key", "n", _at().alias("at"), F.posexplode("prefix").alias("place", "token"))
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """One row per set of :func:`line_sets`: ``set_key, n, prefix``, its first line ``at`` and its number of lines."""
+    return sets.groupBy("set_key").agg(
+        F.min(_at()).alias("at"), F.count(F.lit(1)).alias("n_lines"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
+    )
+
+
+def _rows(firsts: DataFrame) -> DataFrame:
+    """One row per set and prefix shingle."""
+    return firsts.select("set_key", "n", "at", F.posexplode("prefix").alias("place", "token"))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Shingles that the prefixes of at least two sets have, and in how many rows."""
-    return settle(
-        rows.groupBy("token")
-        .agg(F.min("set_key").alias("low"), F.max("set_key").alias("high"), F.count(F.lit(1)).alias("n_rows"))
-        .where("low <> high")
-        .select("token", "n_rows")
-    )
+    """Shingles that the prefixes of at least two sets have, and how many."""
+    # A set has a shingle once, so rows are sets.
+    return settle(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"))
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -168,9 +171,9 @@ def _reordered(exploded: DataFrame, chosen: DataFrame, many: DataFrame) -> DataF
     return settle(prefixes.select("set_key", "n", "at", F.posexplode("prefix").alias("place", "token")))
 
 
-def _index(docs: DataFrame, sets: DataFrame, size: int, frequent: int) -> DataFrame:
+def _index(docs: DataFrame, firsts: DataFrame, size: int, frequent: int) -> DataFrame:
     """One row per set and prefix shingle that another set's prefix has too."""
-    rows = _rows(sets)
+    rows = _rows(firsts)
     shared = _shared(rows)
     crowded = settle(shared.where(F.col("n_rows") >= frequent))
     if crowded.head(1):
@@ -186,19 +189,18 @@ def _index(docs: DataFrame, sets: DataFrame, size: int, frequent: int) -> DataFr
         chosen = settle(chosen.unionByName(more))
         exploded = exploded.unionByName(_exploded(docs, more, size))
         known = checked_broadcast(settle(chosen.select("set_key")))
-        rest = _rows(sets.join(known, "set_key", "left_anti"))
+        rest = _rows(firsts.join(known, "set_key", "left_anti"))
         rows = rest.unionByName(_reordered(exploded, chosen, many))
         shared = _shared(rows)
-    kept = lookup_join(rows, shared, ["token"], row_id=["set_key", "at"], matches="n_rows", settled=True)
-    return settle(kept.groupBy("token", "set_key", "n", "place").agg(F.min("at").alias("at")))
+    return settle(lookup_join(rows, shared, ["token"], row_id=["set_key"], matches="n_rows", settled=True))
 
 
 def _holding(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     """``set_key, n, at`` of the sets whose prefix has one of ``tokens(token, n_rows)``."""
     met = lookup_join(
-        rows, tokens.select("token", "n_rows"), ["token"], row_id=["set_key", "at"], matches="n_rows", settled=True
+        rows, tokens.select("token", "n_rows"), ["token"], row_id=["set_key"], matches="n_rows", settled=True
     )
-    return met.groupBy("set_key", "n").agg(F.min("at").alias("at"))
+    return met.select("set_key", "n", "at").distinct()
 
 
 def _candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
@@ -248,9 +250,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     return settle(both.select(F.col("b_set_key").alias("set_key")).distinct())
 
 
-def later_matches(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, frequent: int = FREQUENT) -> DataFrame:
-    """``set_key`` of the sets that are similar to a set with an earlier first line."""
-    rows = _index(docs, sets, size, frequent)
+def later_matches(docs: DataFrame, firsts: DataFrame, size: int = SHINGLE, frequent: int = FREQUENT) -> DataFrame:
+    """``set_key`` of the sets of the settled :func:`distinct_sets` that are similar to one with an earlier first line."""
+    rows = _index(docs, firsts, size, frequent)
     earliest = rows.groupBy("token").agg(F.min(F.struct("at", "set_key", "n", "place")).alias("e"))
     pivots = settle(earliest.select("token", "e.*"))
     first = _verified(docs, _candidates(pivots, rows), size)
@@ -263,10 +265,8 @@ def removed_lines(docs: DataFrame, size: int = SHINGLE, frequent: int = FREQUENT
     """``doc_id, doc, n_lines, removed``: how many lines with a word, and the numbers of those that go."""
     source = docs.select("doc_id", "text")
     sets = settle(line_sets(source, size))
-    matched = later_matches(source, sets, size, frequent)
-    firsts = sets.groupBy("set_key").agg(
-        F.min(_at()).alias("at"), F.count(F.lit(1)).alias("n_lines")
-    )
+    firsts = settle(distinct_sets(sets))
+    matched = later_matches(source, firsts, size, frequent)
     goes = firsts.join(checked_broadcast(matched.withColumn("_matched", F.lit(True))), "set_key", "left").select(
         "set_key", "at", F.coalesce("_matched", F.lit(False)).alias("_matched"), "n_lines"
     )
