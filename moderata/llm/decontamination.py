@@ -10,7 +10,7 @@ The items are a stated query set. Their automata are built in tasks, one for eac
 its own, so what a task holds is bounded, and documents are never shuffled.
 
 Defined results: a null or empty text has no words and no hits; a null or empty item
-is no window; equal items are all reported; repeated documents are judged one by
+is no window; an item without an id hits but is not listed; equal items are all reported; repeated documents are judged one by
 one; an empty benchmark leaves every document as it is; other columns pass through.
 """
 
@@ -50,19 +50,19 @@ class Automaton:
     ``near[s]`` is the closest state on the link path, itself included, that has any.
     """
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int) -> None:
         self.window = window
         self.ids: dict[bytes, int] = {}
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: list[tuple[str, list[int], int]] = []
+        ends: list[tuple[str | None, list[int], int]] = []
         for item, tokens in items:
             path, state = [], 0
             for token in tokens:
                 state = self._extend(state, self.ids.setdefault(token, len(self.ids)))
                 path.append(state)
             ends.append((item, path, len(tokens)))
-        self.items: list[set[str]] = [set() for _ in self.step]
+        self.items: list[set[str | None]] = [set() for _ in self.step]
         self.whole: dict[int, list[tuple[int, str]]] = {}
         for item, path, n in ends:
             for state in path:
@@ -167,15 +167,14 @@ def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WO
     """
     spark = benchmark.sparkSession
     ship(spark)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(
-        F.col("item").isNotNull() & F.col("text").isNotNull()
-    )
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.col("text").isNotNull())
     n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A word and its separator take at least two bytes.
     shards = max(1, -(-n_bytes // (2 * max_words)))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
-        pairs = [(item, split_words(text)) for item, text in zip(part["item"], part["text"], strict=True)]
+        named = part["item"].astype(object).where(part["item"].notna(), None)
+        pairs = [(item, split_words(text)) for item, text in zip(named, part["text"], strict=True)]
         return pd.DataFrame({"automaton": [pickle.dumps(Automaton([p for p in pairs if p[1]], window))]})
 
     built = settle(
@@ -199,7 +198,7 @@ def matches(text: Column, shared: Broadcast) -> Column:
                 tokens = split_words(value)
                 hits, items = automaton.match(tokens)
                 begins, ends = [a for a, _ in hits], [b for _, b in hits]
-                rows.append((len(tokens), begins, ends, sorted(items)))
+                rows.append((len(tokens), begins, ends, sorted(items - {None})))
             yield pd.DataFrame(rows, columns=["n_words", "begins", "ends", "items"])
 
     return scan(text)

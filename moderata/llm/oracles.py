@@ -116,7 +116,7 @@ def _decontamination() -> str:
         FROM (SELECT r, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT r, i, size FROM matched))
         GROUP BY r),
     found AS (
-        SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+        SELECT r, count(item) AS n, string_agg(item, ',' ORDER BY item) AS items
         FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM matched) GROUP BY r)
     SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
            sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated

@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from moderata.llm import language_crf, prefix_trie, scans, whitening
+from moderata.llm import decontamination, language_crf, prefix_trie, scans, whitening
 
 CONVS = "conv_id bigint, turn bigint, role string, text string, depth string, n_convs int"
 
@@ -228,3 +228,11 @@ def test_held_out_rows_teach_nothing(spark):
     field = language_crf.fit(docs)
     assert field.languages == [] and {r["lang_pred_"] for r in language_crf.tag(docs, field).collect()} == {"und"}
     assert language_crf.tag(docs.limit(0), field).collect() == []
+
+
+def test_items_without_an_id_hit_and_are_not_listed(spark):
+    passage = " ".join(f"w{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "short one here"), (3, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, passage), ("b", f"{passage} more"), (None, "short one")], "item_id string, text string")
+    rows = {r["doc_id"]: r for r in decontamination.scan(docs, items).collect()}
+    assert [(rows[i]["n_words"], rows[i]["n_hit"], rows[i]["items"]) for i in (1, 2, 3)] == [(16, 14, ["b"]), (3, 2, []), (0, 0, [])]
