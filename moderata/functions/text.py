@@ -5,35 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The retrieval prompt, the chat markers and the system prompt.
+from moderata.functions.references import decode_references
+
+# The retrieval prompt and the chat markers.
 CONTEXT_PREFIX = "You are given the following context: "
 QUESTION = "Is the following hate speech: "
 TURN_START = "<|im_start|>"
 TURN_END = "<|im_end|>\n"
-CLASSIFIER_SYSTEM_PROMPT = (
-    "This is a hate speech detection model. Please provide a sentence and the "
-    "model will predict if it is hate speech or not."
-)
 
 TOKEN = r"[\p{L}\p{N}]+"
 WORD_RUN = r"[^ \t\r\n]+[ \t\r\n]*"
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+"
 BLANKS = " \t\r\n"
 
-# Named HTML entities; the ampersand comes last.
-ENTITIES = (
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&copy;", "(C)"),
-    ("&middot;", "·"),
-    ("&hellip;", "…"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&amp;", "&"),
-)
+# Attributes of a tag; a quoted value may hold ">". No part gives back what it took, so a tag takes linear time.
+ATTRIBUTES = r"""(?:[^>=]++|= *+"[^"]*+"|= *+'[^']*+'|=)*+>"""
 
 
 def tokens(text: Column) -> Column:
@@ -56,47 +42,25 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
-def _decode_numeric_entities(text: Column) -> Column:
-    """``&#233;`` and ``&#xe9;`` to the character; everything else stays."""
-    def decode(part: Column) -> Column:
-        digits = F.regexp_extract(part, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-        point = F.when(
-            F.lower(F.substring(digits, 1, 1)) == "x",
-            F.conv(F.substring(digits, 2, 6), 16, 10),
-        ).otherwise(digits).cast("int")
-        valid = (point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-        rest = F.substr(part, F.length(digits) + 2)
-        decoded = F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), part))
-        return F.when(digits == "", F.concat(F.lit("&#"), part)).otherwise(decoded)
-
-    parts = F.split(text, "&#")
-    tail = F.transform(F.slice(parts, 2, F.size(parts)), decode)
-    decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))
-    return F.when(F.contains(text, F.lit("&#")), decoded).otherwise(text)
-
-
 def html_to_text(html: Column) -> Column:
     """Page source to readable text.
 
     Comments and the contents of head, script and style go; block tags and line
-    breaks become newlines; other tags go; entities are decoded; blanks are
-    squeezed.
+    breaks become newlines; other tags go, quoted attributes whole; references are
+    decoded once; blanks are squeezed.
     """
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for block in ("script", "style", "head"):
-        out = F.regexp_replace(out, rf"(?is)<{block}\b[^>]*>.*?</{block}\s*>", "")
+        out = F.regexp_replace(out, rf"(?is)<{block}\b{ATTRIBUTES}.*?</{block}\s*>", "")
     out = F.regexp_replace(out, r"[ \t\r\n]+", " ")
     out = F.regexp_replace(
         out,
         r"(?i)</?(?:p|div|br|hr|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|"
-        r"blockquote|pre|title|body|html|main|aside|form|dl|dt|dd)\b[^>]*>",
+        r"blockquote|pre|title|body|html|main|aside|form|dl|dt|dd)\b" + ATTRIBUTES,
         "\n",
     )
-    out = F.regexp_replace(out, r"(?i)<[!/]?[a-z][^>]*>", "")
-    out = _decode_numeric_entities(out)
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    out = F.regexp_replace(out, r"(?i)<[!/]?[a-z]" + ATTRIBUTES, "")
+    out = decode_references(out)
     out = F.regexp_replace(out, r" *\n[ \n]*", "\n")
     return strip(F.regexp_replace(out, r" +", " "))
 

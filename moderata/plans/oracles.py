@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from moderata.operators import logistic
+from html.entities import html5
 
-from moderata.functions import text as tx
+from moderata.operators import logistic
 
 _TOKEN = r"[\p{L}\p{N}]+"
 _WORD = r"[^ \t\r\n]+[ \t\r\n]*"
@@ -141,20 +141,40 @@ hits AS (
 """
 
 
+_ATTRIBUTES = """(?:[^>=]|= *"[^"]*"|= *''[^'']*''|=)*>"""
+
+
+def _references(column: str) -> str:
+    """References of the parts between ampersands, by the names of the HTML standard."""
+    spelt = {"nbsp": " ", "copy": "(C)"}
+    quoted = {name: spelt.get(name.rstrip(";"), text).replace("'", "''") for name, text in html5.items()}
+    names = "MAP {" + ", ".join(f"'{name}': '{text}'" for name, text in quoted.items()) + "}"
+    bare = "|".join(sorted((name for name in quoted if name[-1] != ";"), key=len, reverse=True))
+    number, name, short = "'^#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});'", "'^[A-Za-z][A-Za-z0-9]*;'", f"'^(?:{bare})'"
+    return rf"""array_to_string(list_transform(list_transform(string_split({column}, '&'), lambda p, i: struct_pack(
+      i := i, p := p, d := lower(regexp_extract(p, {number}, 1)),
+      n := coalesce(nullif(regexp_extract(p, {name}), ''), regexp_extract(p, {short})),
+      s := regexp_extract(p, {short}))), lambda r: CASE
+        WHEN r.i = 1 THEN r.p
+        WHEN r.d <> '' THEN coalesce(
+          CASE WHEN try_cast(replace(r.d, 'x', '0x') AS INTEGER) BETWEEN 1 AND 55295
+                 OR try_cast(replace(r.d, 'x', '0x') AS INTEGER) BETWEEN 57344 AND 1114111
+               THEN chr(try_cast(replace(r.d, 'x', '0x') AS INTEGER)) || r.p[length(r.d) + 3:] END, '&' || r.p)
+        ELSE coalesce({names}[r.n] || r.p[length(r.n) + 1:], {names}[r.s] || r.p[length(r.s) + 1:], '&' || r.p) END), '')"""
+
+
 def _html(column: str) -> str:
     out = f"regexp_replace({column}, '(?s)<!--.*?-->', '', 'g')"
     for block in ("script", "style", "head"):
-        out = rf"regexp_replace({out}, '(?is)<{block}\b[^>]*>.*?</{block}\s*>', '', 'g')"
+        out = rf"regexp_replace({out}, '(?is)<{block}\b{_ATTRIBUTES}.*?</{block}\s*>', '', 'g')"
     out = rf"regexp_replace({out}, '[ \t\r\n]+', ' ', 'g')"
     blocks = (
         "p|div|br|hr|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|"
         "blockquote|pre|title|body|html|main|aside|form|dl|dt|dd"
     )
-    out = rf"regexp_replace({out}, '(?i)</?(?:{blocks})\b[^>]*>', E'\n', 'g')"
-    out = f"regexp_replace({out}, '(?i)<[!/]?[a-z][^>]*>', '', 'g')"
-    for entity, char in tx.ENTITIES:
-        quoted = char.replace("'", "''")
-        out = f"replace({out}, '{entity}', '{quoted}')"
+    out = rf"regexp_replace({out}, '(?i)</?(?:{blocks})\b{_ATTRIBUTES}', E'\n', 'g')"
+    out = f"regexp_replace({out}, '(?i)<[!/]?[a-z]{_ATTRIBUTES}', '', 'g')"
+    out = _references(out)
     out = rf"regexp_replace({out}, ' *\n[ \n]*', E'\n', 'g')"
     return rf"trim(regexp_replace({out}, ' +', ' ', 'g'), E' \t\r\n')"
 

@@ -1,6 +1,9 @@
+import html
+
 from pyspark.sql import functions as F
 
 from moderata.functions import arrays as ar
+from moderata.functions import references
 from moderata.functions import text as tx
 
 
@@ -20,6 +23,29 @@ def test_html_to_text(spark):
     assert one(spark, "plain &#9999999; &# &#5", tx.html_to_text) == "plain &#9999999; &# &#5"
 
 
+def test_references_agree_with_the_standard_library(spark):
+    """All names, alone, followed by letters and without their semicolon; nothing is decoded twice."""
+    cases = [f"a &{name} b &{name}c &{name.rstrip(';')}" for name in html.entities.html5]
+    cases += ["&amp;lt;", "&#38;lt;b&#62;", "&amp;amp;eacute;", "&notit; &notin; &unknown; & &; &&lt", "&#x1F600;&#8364;", ""]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, x string")
+    got = df.select("i", references.decode_references(F.col("x")).alias("y")).collect()
+    assert len(got) == len(cases)
+    plain = lambda text: text.replace("©", "(C)").replace("\xa0", " ")
+    assert [plain(r.y) for r in sorted(got)] == [plain(html.unescape(case)) for case in cases]
+
+
+def test_references_that_stay(spark):
+    for kept in ("&#0;", "&#xD800;", "&#1114112;", "&#12", "&nosuch;", "&"):
+        assert one(spark, kept, references.decode_references) == kept
+    assert one(spark, None, references.decode_references) is None
+
+
+def test_quoted_attributes(spark):
+    assert one(spark, '<a title="x>y" b=\'>\'>z</a><p class = "a>b">w</p><i x=1>v</i> a<b', tx.html_to_text) == "z\nw\nv a<b"
+    long = "<i " + 'a="1>" b=2 ' * 2000 + ">t</i>"
+    assert one(spark, long, tx.html_to_text) == "t"
+
+
 def test_sentences_cover_the_text(spark):
     text = " Hi there!  How are you?\nFine. no end"
     parts = one(spark, text, tx.sentences)
