@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from moderata.functions import arrays as ar
 from moderata.functions import text as tx
+from moderata.operators import terms
 from moderata.operators.joins import BROADCAST_ROWS, ROWS_PER_TASK, lookup_join
 from moderata.operators.ranking import with_position
 
@@ -30,9 +31,9 @@ def build_vocabulary(
     ``max_vocab`` asks for the most frequent tokens only.
     """
     counts = (
-        df.select(F.explode(tx.tokens(F.col(text))).alias("token"))
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"))
+        terms.occurrences(df, text)
+        .groupBy(F.col("term").alias("token"))
+        .agg(F.sum("tf").alias("n"))
     )
     if max_vocab is not None:
         counts = counts.orderBy(F.col("n").desc(), "token").limit(max_vocab)

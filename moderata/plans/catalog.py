@@ -10,7 +10,18 @@ from pyspark.sql import functions as F
 from moderata.functions import arrays as ar
 from moderata.functions import labels as lb
 from moderata.functions import text as tx
-from moderata.operators import chunking, classify, curate, encode, evaluate, logistic, preferences, ranking, retrieval
+from moderata.operators import (
+    chunking,
+    classify,
+    curate,
+    encode,
+    evaluate,
+    logistic,
+    preferences,
+    ranking,
+    retrieval,
+    terms,
+)
 from moderata.session import new_folder, settle, spread
 from moderata.sources import index_store, metrics, model_store, registry
 from moderata.sources.tables import page_documents, read_table, read_tsv
@@ -323,9 +334,11 @@ def chunk_metadata(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def tfidf_index(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder)
-    vectors = retrieval.tfidf_vectors(docs, "doc_id", settle(retrieval.idf_table(docs)))
-    entries = F.explode(F.arrays_zip("terms", "weights"))
-    return vectors.select("doc_id", entries.alias("e")).select(
+    entries = terms.term_table(docs, "doc_id")
+    idf = settle(retrieval.idf_table(entries, ["terms"]))
+    vectors = retrieval.tfidf_vectors(entries, "doc_id", idf, ["terms"])
+    pairs = F.explode(F.arrays_zip("terms", "weights"))
+    return vectors.select("doc_id", pairs.alias("e")).select(
         "doc_id", F.col("e.terms").alias("term"), F.round("e.weights", 6).alias("weight")
     )
 
@@ -342,9 +355,10 @@ def topk_dense(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def topk_sparse(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _documents(spark, folder)
-    idf = settle(retrieval.idf_table(docs))
-    nodes = settle(retrieval.tfidf_vectors(docs, "doc_id", idf).withColumnRenamed("doc_id", "node_id"))
+    entries = terms.term_table(_documents(spark, folder), "doc_id")
+    idf = settle(retrieval.idf_table(entries, ["terms"]))
+    vectors = retrieval.tfidf_vectors(entries, "doc_id", idf, ["terms"])
+    nodes = settle(vectors.withColumnRenamed("doc_id", "node_id"))
     return retrieval.retrieve(read_table(spark, folder, "benchmark"), "item_id", nodes, idf, k=3)
 
 
@@ -512,16 +526,17 @@ def accuracy_rollup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def accuracy_cube(spark: SparkSession, folder: str) -> DataFrame:
     """Naive Bayes plain and on retrieval prompts from the pages, and the majority label."""
-    train, test = _holdout(spark, folder)
-    model = settle(classify.train_naive_bayes(train))
+    rows = terms.term_table(_labelled(spark, folder), "doc_id", carry=["text", "lang", "label"])
+    train, test = ranking.split(rows, "doc_id", 0.2)
+    model = settle(classify.train_naive_bayes(train, "terms"))
     pages = _pages(spark, folder)
     index = index_store.build_index(pages, new_folder(spark, "index"), ["url"])
-    hits = retrieval.retrieve(test, "doc_id", index.vectors, index.idf, k=1)
+    hits = retrieval.retrieve(test, "doc_id", index.vectors, index.idf, k=1, text="terms")
     augmented = retrieval.augment(test, "doc_id", hits, index.chunks)
 
     keep = ["lang", "label"]
     scored = {
-        ("naive_bayes", False): classify.score_naive_bayes(test, model, "doc_id", carry=keep),
+        ("naive_bayes", False): classify.score_naive_bayes(test, model, "doc_id", "terms", carry=keep),
         ("naive_bayes", True): classify.score_naive_bayes(augmented, model, "doc_id", carry=keep),
         ("majority", False): classify.score_majority(test, train),
     }
