@@ -22,6 +22,7 @@ from moderata.operators import (
     retrieval,
     terms,
 )
+from moderata.plans import flows
 from moderata.session import new_folder, settle, spread
 from moderata.sources import index_store, metrics, model_store, registry
 from moderata.sources.tables import page_documents, read_table, read_tsv
@@ -173,7 +174,7 @@ def dataset_gender(spark: SparkSession, folder: str) -> DataFrame:
     docs = _labelled(spark, folder).select(
         "lang", F.col("text").alias("Text"), F.nullif("label", F.lit(0)).alias("Label")
     )
-    english = F.col("lang") == "en"
+    english = F.col("lang").eqNullSafe("en")
     return _tagged(registry.gender(docs.where(english), docs.where(~english)), "text", "label")
 
 
@@ -192,9 +193,9 @@ def dataset_cad(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("lang") == "en", F.lit(lb.NEGATIVE_CATEGORY)).otherwise(_null_if("lang", "fr")).alias("labels"),
         "lang",
     )
-    parts = {"train": F.col("lang").isin("en", "fr"), "dev": F.col("lang") == "de", "test": F.col("lang") == "es"}
-    for name, rows in parts.items():
-        _write_tsv(docs.where(rows).drop("lang"), f"{base}/{name}.tsv")
+    part = F.when(F.col("lang") == "de", "dev").when(F.col("lang") == "es", "test").otherwise("train")
+    for name in ("train", "dev", "test"):
+        _write_tsv(docs.where(part == name).drop("lang"), f"{base}/{name}.tsv")
     return _tagged(registry.load(spark, "cad", base), "text", "label")
 
 
@@ -204,24 +205,28 @@ def tsv_concat(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select(
         F.col("doc_id").alias("id"), "text", F.col("lang").alias("labels")
     )
-    _write_tsv(docs.where("labels = 'en'"), f"{base}/train.tsv")
-    _write_tsv(docs.where("labels <> 'en'"), f"{base}/dev.tsv")
+    english = F.col("labels").eqNullSafe("en")
+    _write_tsv(docs.where(english), f"{base}/train.tsv")
+    _write_tsv(docs.where(~english), f"{base}/dev.tsv")
     frames = [read_tsv(spark, f"{base}/{n}.tsv", registry.CATEGORY_FILE) for n in ("train", "dev")]
     return curate.concat(frames).drop("id").withColumnsRenamed({"labels": "label"})
 
 
-@query
-def preference_split(spark: SparkSession, folder: str) -> DataFrame:
+def _preference_source(spark: SparkSession, folder: str) -> DataFrame:
     turns = read_table(spark, folder, "conversations")
     rows = preferences.with_heads(preferences.turn_pairs(turns), turns)
-    source = rows.select(
+    return rows.select(
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("row_id"),
         "prompt",
         F.col("completion").alias("generation"),
         (F.pmod("turn", F.lit(4)) == 1).cast("int").alias("prompt_label"),
         F.coalesce("system", "first_user").alias("extra"),
     )
-    train, test = registry.toxigen_preference(source)
+
+
+@query
+def preference_split(spark: SparkSession, folder: str) -> DataFrame:
+    train, test = registry.toxigen_preference(_preference_source(spark, folder))
     both = curate.concat_tagged({"train": train, "test": test}, "split")
     return curate.filter_not_null(both, "prompt").select("prompt", "completion", "label", "split")
 
@@ -556,6 +561,77 @@ def metrics_log(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.read_metrics(spark, path)
 
 
+# Whole jobs on stored datasets
+
+
+def _stored_sets(spark: SparkSession, folder: str, *names: str) -> dict[str, str]:
+    """The given tables written in the stored layout of the named datasets."""
+    base = new_folder(spark, "sets")
+    docs = _labelled(spark, folder)
+    comments = _scored_events(spark, folder).select(
+        F.col("event_id").alias("row_id"),
+        F.when(F.col("event_type") != "view", F.concat_ws(" ", "event_type", "event_id")).alias("text"),
+        (F.col("score") / F.lit(100.0)).alias("hate_speech_score"),
+        F.lit("train").alias("split"),
+    )
+    side = F.when(F.col("lang").eqNullSafe("en"), "train").otherwise("test")
+    quality = read_table(spark, folder, "labels").select("doc_id", "quality")
+    layouts = {
+        "twitter": lambda: docs.select(
+            F.col("doc_id").alias("row_id"),
+            F.col("text").alias("tweet"),
+            F.col("label").cast("string").alias("label"),
+            _null_if("lang", "fr").alias("lang"),
+            F.lit("train").alias("split"),
+        ),
+        "gender": lambda: docs.select(
+            F.col("text").alias("Text"), F.nullif("label", F.lit(0)).alias("Label"), side.alias("split")
+        ),
+        "berkeley": lambda: comments,
+        "toxigen_human": lambda: docs.join(quality, "doc_id").select(
+            "text",
+            (F.nullif("quality", F.lit(0)).cast("double") * F.lit(3.0)).alias("toxicity_ai"),
+            (F.col("label").cast("double") * F.lit(3.0)).alias("toxicity_human"),
+            F.when(side == "train", "train").otherwise("test").alias("split"),
+        ),
+    }
+    folders = {}
+    for name in names:
+        folders[name] = f"{base}/{name}"
+        path = f"{folders[name]}/annotated" if name == "toxigen_human" else folders[name]
+        layouts[name]().write.partitionBy("split").parquet(path)
+    return folders
+
+
+@query
+def job_training_set(spark: SparkSession, folder: str) -> DataFrame:
+    """Four stored datasets loaded by name, harmonised, split, concatenated and stored."""
+    folders = _stored_sets(spark, folder, "twitter", "gender", "berkeley", "toxigen_human")
+    return _tagged(flows.prepare(spark, folders, new_folder(spark, "prepared")), "dataset", "text", "label")
+
+
+@query
+def job_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """Two models trained on a prepared set and measured on its held-out side, plain and on retrieval prompts."""
+    folders = _stored_sets(spark, folder, "twitter", "gender")
+    train, val = flows.prepare(spark, folders, new_folder(spark, "prepared"))
+    path = new_folder(spark, "index")
+    index = index_store.open_index(spark, path, build_from=_pages(spark, folder), metadata=["url"])
+    models = {
+        "naive_bayes": settle(classify.train_naive_bayes(train)),
+        "majority": lambda rows: classify.score_majority(rows, train),
+    }
+    return flows.evaluate_models(val, models, index)
+
+
+@query
+def job_preference_set(spark: SparkSession, folder: str) -> DataFrame:
+    """Preference rows of stored conversations, split and stored."""
+    base = new_folder(spark, "sets")
+    _preference_source(spark, folder).withColumn("split", F.lit("train")).write.partitionBy("split").parquet(f"{base}/train")
+    return _tagged(flows.preference_set(spark, base, new_folder(spark, "preferences")), "prompt", "completion", "label")
+
+
 # Training log
 
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moderata.operators import classify, curate, evaluate, retrieval
-from moderata.session import settle
+from moderata.operators import classify, curate, evaluate, retrieval, terms
 from moderata.sources import registry
 from moderata.sources.index_store import Index
 
 
+Scorer = Callable[[DataFrame], DataFrame]
+
+
 def _store(df: DataFrame, path: str) -> DataFrame:
     """Write rows with a ``row_id`` and read them back, so that the ids are fixed."""
     df.withColumn("row_id", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
@@ -51,22 +53,32 @@ def preference_set(spark: SparkSession, folder: str, path: str) -> registry.Pair
 
 def evaluate_models(
     rows: DataFrame,
-    models: Mapping[str, DataFrame],
+    models: Mapping[str, DataFrame | Scorer],
     index: Index | None = None,
     k: int = 1,
 ) -> DataFrame:
-    """Accuracy of each naive Bayes model on ``rows(row_id, dataset, text, label)``.
+    """Accuracy of each model on ``rows(row_id, dataset, text, label)``.
 
+    A model is a naive Bayes table or a function that takes ``row_id, dataset, label, text, terms``
+    and returns at least ``dataset, label, pred``. Texts are split into terms once for all models and the index.
     With an ``index`` each model also scores the retrieval prompts. The result
     has a row for every combination of model, mode and dataset and their totals;
     the union of the datasets is a total, not a second pass.
     """
-    inputs = {False: rows}
+    carry = ["dataset", "label", "text"]
+    inputs = {False: terms.term_table(rows, "row_id", carry=carry)}
     if index is not None:
-        hits = retrieval.retrieve(rows, "row_id", index.vectors, index.idf, k)
-        inputs[True] = settle(retrieval.augment(rows, "row_id", hits, index.chunks))
+        hits = retrieval.retrieve(inputs[False], "row_id", index.vectors, index.idf, k, text="terms")
+        prompts = retrieval.augment(rows, "row_id", hits, index.chunks)
+        inputs[True] = terms.term_table(prompts, "row_id", carry=carry)
+
+    def scores(model: DataFrame | Scorer, texts: DataFrame) -> DataFrame:
+        if callable(model):
+            return model(texts)
+        return classify.score_naive_bayes(texts, model, "row_id", "terms", carry=["dataset", "label"])
+
     scored = [
-        classify.score_naive_bayes(texts, model, "row_id", carry=["dataset", "label"]).select(
+        scores(model, texts).select(
             F.lit(name).alias("model_id"), F.lit(rag).alias("rag"), "dataset", "label", "pred"
         )
         for name, model in models.items()

@@ -332,7 +332,7 @@ SELECT text, label, split FROM (
     "dataset_cad": """
 SELECT text, CAST(CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS BIGINT) AS label,
        CASE WHEN lang = 'es' THEN 'test' ELSE 'train' END AS split
-FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')""",
+FROM documents""",
     "tsv_concat": "SELECT text, lang AS label FROM documents",
     "preference_split": _with(
         _TURNS,
@@ -563,3 +563,38 @@ ORACLES["stream_scores"] = ORACLES["model_roundtrip"]
 ORACLES["manifest_nodes"] = _with(_chunks("documents"), recursive=True) + """
 SELECT 'part' || CAST(doc_id // 100 AS VARCHAR) AS index_key, 'vector_store' AS type,
        'part' || CAST(doc_id // 100 AS VARCHAR) AS index_id, node_id, node_id AS ref_id FROM chunks"""
+
+
+def _dataset(name: str, oracle: str) -> str:
+    kept = "text IS NOT NULL AND label IS NOT NULL"
+    return f"SELECT '{name}' AS dataset, split, text, label FROM ({oracle}) WHERE {kept}"
+
+
+_HUMAN = """
+SELECT d.text, CAST(coalesce(CAST(nullif(l.quality, 0) AS DOUBLE) * 3 + CAST(l.toxic AS DOUBLE) * 3 > 5.5, false) AS BIGINT) AS label,
+       CASE WHEN d.lang = 'en' THEN 'train' ELSE 'test' END AS split
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+
+ORACLES["job_training_set"] = "\nUNION ALL\n".join(
+    _dataset(name, ORACLES.get(f"dataset_{name}", _HUMAN)) for name in ("twitter", "gender", "berkeley", "toxigen_human")
+)
+ORACLES["job_preference_set"] = ORACLES["preference_split"]
+
+_PREPARED = f"""
+{_LABELLED.strip()},
+tweets AS (
+  SELECT *, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR))) AS rn, count(*) OVER () AS n
+  FROM labelled WHERE lang <> 'fr' AND text IS NOT NULL),
+prepared AS (
+  SELECT 'twitter:' || CAST(doc_id AS VARCHAR) AS doc_id, text, 'twitter' AS lang, label,
+         rn <= ceil(CAST(0.2 AS DOUBLE) * n) AS held_out
+  FROM tweets
+  UNION ALL
+  SELECT 'gender:' || CAST(doc_id AS VARCHAR), text, 'gender', label, lang IS DISTINCT FROM 'en'
+  FROM labelled WHERE text IS NOT NULL),
+train AS (SELECT doc_id, text, lang, label FROM prepared WHERE NOT held_out),
+test AS (SELECT doc_id, text, lang, label FROM prepared WHERE held_out)
+"""
+ORACLES["job_evaluation"] = ORACLES["accuracy_cube"].replace(_HOLDOUT.strip(), _PREPARED.strip()).replace(
+    "UNION ALL SELECT 'majority', 'false',", "UNION ALL SELECT 'majority', unnest(['false', 'true']),"
+)

@@ -27,9 +27,12 @@ def read_with_row_id(spark: SparkSession, *paths: str) -> DataFrame:
     """Parquet rows with a stable unique ``row_id``: file path and row number in it.
 
     It stands for the row index of an in-memory frame and is the same however
-    the scan is partitioned or repeated.
+    the scan is partitioned or repeated. A stored ``row_id`` is kept: with it a split also stays
+    the same when the files are rewritten.
     """
     df = spark.read.parquet(*paths)
+    if ROW_ID in df.columns:
+        return df
     meta = F.concat_ws(
         ":", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")
     )

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from moderata.operators import classify
+from moderata.operators import classify, logistic
 from moderata.plans import flows
 from moderata.session import settle
 from moderata.sources import index_store
@@ -32,6 +32,10 @@ def test_train_and_evaluate_with_retrieval(spark, tmp_path):
     assert table["a", "false", "twitter"] == (12, 1.0)
     assert table["a", "true", "gender"][0] == 60
     assert table["(all)", "(all)", "(all)"][0] == 4 * 72
+    weights = logistic.train(train, "row_id")
+    both = {"a": model, "lr": lambda r: logistic.score(r, weights, "row_id", "terms", carry=["dataset", "label"])}
+    scores = {(r.model_id, r.dataset): r.accuracy for r in flows.evaluate_models(val, both).collect()}
+    assert scores["lr", "(all)"] == scores["a", "(all)"] == 1.0
     plain = flows.evaluate_models(val, {"a": model})
     assert {r.rag for r in plain.collect()} == {"false", "(all)"}
 

@@ -193,3 +193,12 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     for number, part in ((0, "id < 4"), (1, "id >= 4"), (0, "id < 4")):
         files.merge_batch(rows.where(part), number, str(tmp_path / "t"))
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "t")).collect()) == list(range(10))
+
+
+def test_a_stored_row_id_is_kept(spark, tmp_path):
+    rows = spark.createDataFrame([(7, "a"), (9, "b")], "row_id bigint, text string")
+    rows.write.parquet(str(tmp_path / "with"))
+    rows.drop("row_id").write.parquet(str(tmp_path / "without"))
+    assert sorted(r.row_id for r in read_with_row_id(spark, str(tmp_path / "with")).collect()) == [7, 9]
+    made = [r.row_id for r in read_with_row_id(spark, str(tmp_path / "without")).collect()]
+    assert len(set(made)) == 2 and all(isinstance(r, str) for r in made)
