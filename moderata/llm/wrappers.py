@@ -24,10 +24,11 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from math import isqrt
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -92,6 +93,9 @@ HEADER_NAMES = {"header", "masthead"}
 PAGE_TAGS = {"html", "body", "main"}
 ARTICLE_NAMES = {"article", "articlebody", "post", "entry", "story", "content", "main", "body", "text"}
 
+# Elements below this depth stand beside each other in the element at it, as in browsers' trees.
+MAX_DEPTH = 256
+
 # The keys of an element and those around it, outermost first.
 Path = tuple[str, ...]
 
@@ -130,21 +134,29 @@ def parse(page: str | None) -> Node:
     """The element tree of a page; texts are children, as (characters decoded) strings.
 
     End tags left out are put in where the HTML standard implies them, inline elements
-    are dissolved, and a text inside a link begins with a mark.
+    are dissolved, and a text inside a link begins with a mark. Elements nested deeper than
+    ``MAX_DEPTH`` keep their texts and their order, but become siblings.
     """
     root = Node("")
     stack, links = [root], 0
+    is_open: Counter[str] = Counter()
     text, at, page = "", 0, page or ""
 
+    def add(child: Node | str) -> None:
+        stack[min(len(stack), MAX_DEPTH) - 1].children.append(child)
+
     def flush() -> None:
         nonlocal text
         if text.strip(" \t\n\r\f\x01"):
-            stack[-1].children.append(text)
+            add(text)
         text = ""
 
     def close(tags: set[str], until: set[str]) -> None:
+        if not any(is_open[tag] for tag in tags):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].tag in tags:
+                is_open.subtract(n.tag for n in stack[depth:])
                 del stack[depth:]
                 return
             if stack[depth].tag in until:
@@ -172,8 +184,7 @@ def parse(page: str | None) -> Node:
         flush()
         links = 0
         if match["end"]:
-            if any(n.tag == tag for n in stack[1:]):
-                close({tag}, set())
+            close({tag}, set())
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -184,9 +195,10 @@ def parse(page: str | None) -> Node:
         if tag in ENDS_SAME:
             close(ENDS_SAME[tag], HOLDS_SAME)
         node = Node(_key(tag, match["attributes"]))
-        stack[-1].children.append(node)
+        add(node)
         if tag not in VOID and not match["attributes"].endswith("/"):
             stack.append(node)
+            is_open[tag] += 1
     flush()
     return root
 
@@ -261,21 +273,46 @@ def align(a: Node, b: Node) -> Node:
 
 
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    """Places of a longest common subsequence, in memory linear in the longer list.
+
+    Row ``i`` is one number with a bit per place of ``b``, last place first: 0 where the length for
+    ``a[i:]`` rises. A row follows from the next one by an addition, so 20,000 places a side take a moment. Only
+    every ``step``-th row is kept; those between are made again on the way back.
+    """
+    width, step = len(b), isqrt(len(a)) + 1
+    full = (1 << width) - 1
+    places: dict[str, int] = defaultdict(int)
+    for j, name in enumerate(b):
+        places[name] |= 1 << (width - 1 - j)
+
+    def before(row: int, name: str) -> int:
+        hit = row & places.get(name, 0)
+        return ((row + hit) | (row - hit)) & full
+
+    def length(row: int, j: int) -> int:
+        return width - j - (row & ((1 << (width - j)) - 1)).bit_count()
+
+    kept, row = {len(a): full}, full
     for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            same = best[i + 1][j + 1] + 1 if a[i] == b[j] else 0
-            best[i][j] = max(same, best[i + 1][j], best[i][j + 1])
-    pairs, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j] and best[i][j] == best[i + 1][j + 1] + 1:
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+        row = before(row, a[i])
+        if i % step == 0:
+            kept[i] = row
+    pairs, j = [], 0
+    for start in range(0, len(a), step):
+        end = min(start + step, len(a))
+        rows = [kept[end]]
+        for name in reversed(a[start:end]):
+            rows.append(before(rows[-1], name))
+        rows.reverse()
+        i = start
+        while i < end and j < width:
+            if a[i] == b[j]:
+                pairs.append((i, j))
+                i, j = i + 1, j + 1
+            elif length(rows[i - start + 1], j) >= length(rows[i - start], j + 1):
+                i += 1
+            else:
+                j += 1
     return pairs
 
 

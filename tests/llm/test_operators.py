@@ -380,3 +380,34 @@ def test_text_without_common_words_is_not_kept(spark):
 def test_digest_of_no_items(spark):
     table = spark.createDataFrame([(1, 0, 0, [])], "doc_id bigint, n_words bigint, n_hit bigint, items array<string>")
     assert decontamination.digest(table).first()["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_common_places_agree_with_the_whole_table():
+    def table(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = max(best[i + 1][j + 1] + (a[i] == b[j]), best[i + 1][j], best[i][j + 1])
+        return best[0][0]
+
+    draw = random.Random(3)
+    for _ in range(400):
+        a, b = ([draw.choice("pqrst") for _ in range(draw.randrange(14))] for _ in range(2))
+        pairs = wrappers._common(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and len(pairs) == table(a, b)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    a, b = ([draw.choice("pqrst") for _ in range(20_000)] for _ in range(2))
+    assert len(wrappers._common(a, b)) > 10_000
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<div>" * 100_000 + "inner words" + "</div>" * 100_000 + "<p>after</p>"
+    nested = "".join(f"<section><p>part {i} of the text</p>" for i in range(2000)) + "</section>" * 2000
+    draw = random.Random(4)
+    wide = ["".join(f"<{t}>w{i}</{t}>" for i, t in enumerate(draw.choices(["p", "pre", "div", "h2"], k=20_000))) for _ in range(2)]
+    rows = [(i, f"http://h{min(i, 2)}.org/{i}", page) for i, page in enumerate([deep, nested, *wide])]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_pages(table).collect()}
+    assert got[0] == "inner words\n\nafter"
+    assert got[1].split("\n\n") == [f"part {i} of the text" for i in range(2000)]
+    assert got[2].split() == [f"w{i}" for i in range(20_000)] and got[3].split() == got[2].split()
