@@ -15,7 +15,8 @@ spread like any other. Wrappers go back to the pages by a lookup that is broadca
 only if small.
 
 Defined results: a null or empty page has empty text; a null URL and one without a host
-are pages of the host ""; a page without text that belongs to the article is empty;
+are pages of the host ""; a page without text that belongs to the article is empty; pages may be
+of any length, width and depth, elements below ``MAX_DEPTH`` being read as siblings;
 repeated rows are read one by one; an empty table gives no rows.
 """
 
