@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moderata.functions import labels as lb
+from moderata.plans.catalog import QUERIES
 from moderata.sources import index_store, registry
 from moderata.sources.delimited import read_delimited
 from moderata.sources.tables import NULL_WORDS, page_documents, read_tsv, read_with_row_id
@@ -202,3 +203,8 @@ def test_a_stored_row_id_is_kept(spark, tmp_path):
     assert sorted(r.row_id for r in read_with_row_id(spark, str(tmp_path / "with")).collect()) == [7, 9]
     made = [r.row_id for r in read_with_row_id(spark, str(tmp_path / "without")).collect()]
     assert len(set(made)) == 2 and all(isinstance(r, str) for r in made)
+
+
+def test_roundtrip_does_not_join_the_terms(spark, data):
+    plan = QUERIES["index_roundtrip"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "n_terms" in plan and "terms#" not in plan.replace("n_terms#", "")
