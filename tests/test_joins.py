@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from moderata.operators import logistic
 from moderata.operators.joins import heavy_keys, lookup_join
+from moderata.session import settle
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -74,3 +76,43 @@ def test_heavy_keys_are_found_whatever_the_lookup(spark):
     heavy = heavy_keys(facts, ["k"], 1000)
     # The sketch may count a little too much.
     assert len(heavy) == 1 and 25 <= next(iter(heavy.values())) <= 30 and heavy_keys(facts.limit(0), ["k"]) == {}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_facts_of_common_keys_stay_where_they_are(spark, how):
+    word = F.when(F.col("id") % 20 > 0, F.concat(F.lit("c"), (F.col("id") % 7).cast("string"))).otherwise(F.col("id").cast("string"))
+    facts = settle(spark.range(20_000).select("id", F.when(F.col("id") % 400 > 0, word).alias("key")))
+    lookup = settle(
+        facts.where("key IS NOT NULL AND key <> '20'").groupBy("key").agg(F.count("*").alias("n"), F.length("key").alias("v"))
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = lookup_join(facts, lookup, ["key"], row_id=["id"], common="n", how=how, settled=True, broadcast_rows=10)
+        rows, plan = got.collect(), got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = facts.join(lookup.drop("n"), ["key"], how)
+    assert got.columns == want.columns
+    assert sorted(map(str, rows)) == sorted(map(str, want.collect()))
+    assert plan.count("BroadcastHashJoin") >= 2
+    assert "LeftAnti" in plan
+
+
+def test_weights_carry_the_rows_of_a_term(spark):
+    rows = [(i, f"a b{i % 3} c{i}", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, text string, label int")
+    at_once = logistic.train(df, "id")
+    apart = logistic.train(df, "id", broadcast_rows=5)
+    weights = lambda t: {r["term"]: (round(r["weight"], 9), r["n_rows"]) for r in t.collect()}
+    assert weights(at_once) == weights(apart) and weights(apart)["a"][1] == 40 and len(weights(apart)) == 45
+    scored = lambda b: sorted(map(str, logistic.score(df, apart, "id", broadcast_rows=b).collect()))
+    assert scored(5) == scored(1000)
+
+
+def test_the_length_of_a_text_is_added_up_once(spark):
+    df = spark.createDataFrame([(1, "a a b"), (2, None), (3, "")], "id bigint, text string")
+    table = logistic.term_table(df, "id")
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "/ SQRT(" not in plan and "/ sqrt(" not in plan
+    rows = sorted((r["id"], r["term"], round(r["x"], 6)) for r in table.collect())
+    assert rows == [(1, "", 1.0), (1, "a", 0.894427), (1, "b", 0.447214), (2, "", 1.0), (3, "", 1.0)]
