@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from moderata.llm import decontamination, line_dedup, lm_scoring, ordinal, packing, quality_rules, sharding, simhash, warc
+from moderata.llm import common, decontamination, line_dedup, lm_scoring, ordinal, packing, quality_rules, sharding, simhash, warc
 from moderata.llm import wrappers
 from moderata.llm.tokens import tokens_of
 
@@ -359,6 +360,15 @@ def test_language_model_scores(docs, spark):
     assert rows[1]["n_tokens"] == 0 and rows[1]["mean_log_prob"] is None and rows[None]["n_tokens"] == 12000
 
 
+def test_word_numbers_keep_no_table():
+    common.forget()
+    words = [f"wört{i}" for i in range(2000)]
+    want = [zlib.crc32(w.encode()) % lm_scoring.N_IDS for w in words]
+    assert lm_scoring.token_ids(" \n".join(words)).tolist() == want
+    assert lm_scoring.token_ids(None).tolist() == lm_scoring.token_ids(" ").tolist() == []
+    assert not common._KEPT
+
+
 def test_quality_rules_on_edge_rows(docs, empty):
     rows = {r["doc_id"]: r for r in quality_rules.judge(docs, min_reference_words=10).collect()}
     assert rows[1]["n_words"] == 0 and rows[1]["base_failed"] and not rows[1]["kept"]
