@@ -2,8 +2,9 @@
 
 A line is the set of its shingles of five words (a shorter line is one shingle). The
 shingles of a line are put in one order for the whole corpus; equal sets are one from here on; two lines with Jaccard
-similarity of 0.8 or more must share one of the first few, their prefix. The order is
-rare before frequent. Prefixes are first taken by hash alone; the lines with a shingle
+similarity of 0.8 or more must share one of the first few, their prefix. Prefixes are first taken by hash alone, and
+a set of whose prefix no other prefix has a shingle is done with: only the others and their lines go on. Their order is
+rare before frequent; the lines with a shingle
 that ``FREQUENT`` prefixes have are counted in full, and the shingles that
 ``FREQUENT`` of these lines have follow all others, by that count. Every line with such a
 shingle in its prefix is ordered anew; for the others the prefix by hash is the same. Prefix shingles that only one set has are dropped, the others are
@@ -37,6 +38,7 @@ SHINGLE = 5
 SIMILARITY = (4, 5)
 FREQUENT = 50
 HERE = ("doc_id", "doc", "line_no")
+_HAS_WORD = f"[^{BLANKS}]"
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
@@ -52,7 +54,7 @@ def shingles(line: Column, size: int = SHINGLE) -> Column:
 def _run_steps(size: int) -> list[Callable[[Column], Column]]:
     """The way from the words of a line to its shingles.
 
-    Words are hashed once; runs of 1, 2, 4 ... words are doubled while they fit and
+    Words are hashed in pairs; runs of 2, 4 ... words are doubled while they fit and
     then lengthened to ``size`` by a second run that overlaps the first. A line of
     fewer words is one run of them all. Every step uses its argument more than
     once, so it has to be bound.
@@ -63,12 +65,12 @@ def _run_steps(size: int) -> list[Callable[[Column], Column]]:
             # A line too short for this length keeps what it has, under one hash.
             length = F.size(runs) - shift
             both = F.zip_with(F.slice(runs, F.lit(1), length), F.slice(runs, shift + 1, length), _hash_two)
-            whole = F.when(F.size(runs) > 0, F.array(F.xxhash64(runs))).otherwise(runs)
+            whole = F.when(F.size(runs) > 0, F.array(F.xxhash64(runs))).otherwise(F.array().cast("array<bigint>"))
             return F.when(length > 0, both).otherwise(whole)
 
         return step
 
-    steps = [lambda w: F.transform(w, lambda word: F.xxhash64(word))]
+    steps = [] if size > 1 else [lambda w: F.transform(w, lambda word: F.xxhash64(word))]
     length = 1
     while length < size:
         shift = min(length, size - length)
@@ -108,7 +110,7 @@ def line_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``doc_id, doc, line_no, set_key, n, prefix`` of every line with a word, prefixes by hash."""
 
     # Decided by the line itself: a filter on the shingles would compute them twice.
-    found = _lines(docs).where(F.col("line").rlike(f"[^{BLANKS}]")).select(*HERE, words(F.col("line")).alias("keys"))
+    found = _lines(docs).where(F.col("line").rlike(_HAS_WORD)).select(*HERE, words(F.col("line")).alias("keys"))
     for step in [*_run_steps(size), F.sort_array]:
         found = found.select(*HERE, step(F.col("keys")).alias("keys"))
     n = F.size("keys")
@@ -128,6 +130,14 @@ def distinct_sets(sets: DataFrame) -> DataFrame:
     )
 
 
+def connected(firsts: DataFrame) -> DataFrame:
+    """The settled ``firsts`` whose prefix has a shingle of another set's prefix; no other set is similar to any."""
+    rows = firsts.select("set_key", F.explode("prefix").alias("token"))
+    met = lookup_join(rows, _shared(rows), ["token"], row_id=["set_key"], matches="n_rows", settled=True)
+    found = checked_broadcast(settle(met.select("set_key").distinct()))
+    return settle(firsts.join(found, "set_key", "left_semi").drop("n_lines"))
+
+
 def _rows(firsts: DataFrame) -> DataFrame:
     """One row per set and prefix shingle."""
     return firsts.select("set_key", "n", "at", F.posexplode("prefix").alias("place", "token"))
@@ -153,10 +163,10 @@ def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def _exploded(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+def _exploded(lines: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
     """``set_key, token``: all shingles of the sets of ``chosen(set_key, n, at)``."""
-    lines = _fetched(docs, chosen.select("set_key", "at"))
-    return settle(lines.select("set_key", F.explode(shingles(F.col("line"), size)).alias("token")))
+    held = lines.join(checked_broadcast(settle(chosen.select("set_key"))), "set_key", "left_semi")
+    return settle(held.select("set_key", F.explode(shingles(F.col("line"), size)).alias("token")))
 
 
 def _reordered(exploded: DataFrame, chosen: DataFrame, many: DataFrame) -> DataFrame:
@@ -171,14 +181,14 @@ def _reordered(exploded: DataFrame, chosen: DataFrame, many: DataFrame) -> DataF
     return settle(prefixes.select("set_key", "n", "at", F.posexplode("prefix").alias("place", "token")))
 
 
-def _index(docs: DataFrame, firsts: DataFrame, size: int, frequent: int) -> DataFrame:
+def _index(lines: DataFrame, firsts: DataFrame, size: int, frequent: int) -> DataFrame:
     """One row per set and prefix shingle that another set's prefix has too."""
     rows = _rows(firsts)
     shared = _shared(rows)
     crowded = settle(shared.where(F.col("n_rows") >= frequent))
     if crowded.head(1):
         chosen = settle(_holding(rows, crowded))
-        exploded = _exploded(docs, chosen, size)
+        exploded = _exploded(lines, chosen, size)
         counted = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n_rows"))
         many = settle(
             counted.where(F.col("n_rows") >= frequent).select("token", "n_rows", F.col("n_rows").alias("rank"))
@@ -187,7 +197,7 @@ def _index(docs: DataFrame, firsts: DataFrame, size: int, frequent: int) -> Data
         known = checked_broadcast(settle(chosen.select("set_key")))
         more = settle(_holding(rows, many).join(known, "set_key", "left_anti"))
         chosen = settle(chosen.unionByName(more))
-        exploded = exploded.unionByName(_exploded(docs, more, size))
+        exploded = exploded.unionByName(_exploded(lines, more, size))
         known = checked_broadcast(settle(chosen.select("set_key")))
         rest = _rows(firsts.join(known, "set_key", "left_anti"))
         rows = rest.unionByName(_reordered(exploded, chosen, many))
@@ -218,15 +228,15 @@ def _candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
         & (left >= must)
         & (F.col("a_at") < F.col("b_at"))
     )
-    return a.join(b, "token").where(passes).select("a_set_key", "a_at", "b_set_key", "b_at").distinct()
+    return a.join(b, "token").where(passes).select("a_set_key", "b_set_key").distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+def _verified(lines: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """``set_key`` of the later lines whose shingles are as similar as asked to the earlier line's."""
     num, den = SIMILARITY
     pairs = settle(pairs)
-    side = lambda s: pairs.select(F.col(f"{s}_set_key").alias("set_key"), F.col(f"{s}_at").alias("at"))
-    lines = _fetched(docs, side("a").union(side("b")).distinct())
+    asked = pairs.select(F.explode(F.array("a_set_key", "b_set_key")).alias("set_key")).distinct()
+    lines = settle(lines.join(checked_broadcast(settle(asked)), "set_key", "left_semi"))
     # Hashes are made once per line and leave few pairs; those are compared word by word.
     hashed = checked_broadcast(settle(lines.select("set_key", shingles(F.col("line"), size).alias("hashes"))))
     texts = checked_broadcast(lines)
@@ -252,33 +262,30 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
 
 def later_matches(docs: DataFrame, firsts: DataFrame, size: int = SHINGLE, frequent: int = FREQUENT) -> DataFrame:
     """``set_key`` of the sets of the settled :func:`distinct_sets` that are similar to one with an earlier first line."""
-    rows = _index(docs, firsts, size, frequent)
+    firsts = connected(firsts)
+    lines = _fetched(docs, firsts.select("set_key", "at"))
+    rows = _index(lines, firsts, size, frequent)
     earliest = rows.groupBy("token").agg(F.min(F.struct("at", "set_key", "n", "place")).alias("e"))
     pivots = settle(earliest.select("token", "e.*"))
-    first = _verified(docs, _candidates(pivots, rows), size)
+    first = _verified(lines, _candidates(pivots, rows), size)
     still_open = settle(rows.join(checked_broadcast(first), "set_key", "left_anti"))
-    rest = _verified(docs, _candidates(rows, still_open), size)
+    rest = _verified(lines, _candidates(rows, still_open), size)
     return settle(first.union(rest).distinct())
 
 
 def removed_lines(docs: DataFrame, size: int = SHINGLE, frequent: int = FREQUENT) -> DataFrame:
-    """``doc_id, doc, n_lines, removed``: how many lines with a word, and the numbers of those that go."""
+    """``doc_id, doc, removed``: the numbers of the lines that go, of the documents that lose any."""
     source = docs.select("doc_id", "text")
     sets = settle(line_sets(source, size))
     firsts = settle(distinct_sets(sets))
     matched = later_matches(source, firsts, size, frequent)
-    goes = firsts.join(checked_broadcast(matched.withColumn("_matched", F.lit(True))), "set_key", "left").select(
-        "set_key", "at", F.coalesce("_matched", F.lit(False)).alias("_matched"), "n_lines"
-    )
+    told = checked_broadcast(matched.withColumn("_matched", F.lit(True)))
+    # Only a line of a matched set, or of a set with several lines, can go.
+    goes = firsts.select("set_key", "at", "n_lines").join(told, "set_key", "left").where("_matched OR n_lines > 1")
     narrow = sets.select("doc_id", "doc", "line_no", "set_key")
     judged = lookup_join(narrow, goes, ["set_key"], row_id=["doc", "line_no"], matches="n_lines")
-    gone = F.when(F.col("_matched") | ~_at().eqNullSafe(F.col("at")), F.col("line_no"))
-    return (
-        judged.select("doc_id", "doc", "line_no", gone.alias("gone"))
-        .groupBy("doc_id", "doc")
-        .agg(F.collect_set("line_no").alias("lines"), F.collect_set("gone").alias("removed"))
-        .select("doc_id", "doc", F.size("lines").alias("n_lines"), "removed")
-    )
+    gone = judged.where(F.col("_matched").isNotNull() | ~_at().eqNullSafe(F.col("at")))
+    return gone.groupBy("doc_id", "doc").agg(F.collect_set("line_no").alias("removed"))
 
 
 def deduplicate(
@@ -290,9 +297,9 @@ def deduplicate(
     Building the frame runs jobs.
     """
     gone = settle(removed_lines(docs, size, frequent))
-    names = {c: fresh(docs, f"_{c}") for c in ("doc", "id", "n", "removed")}
+    names = {c: fresh(docs, f"_{c}") for c in ("doc", "id", "removed")}
     lookup = checked_broadcast(
-        gone.select(*[F.col(c).alias(names[k]) for k, c in (("id", "doc_id"), ("doc", "doc"), ("n", "n_lines"), ("removed", "removed"))])
+        gone.select(*[F.col(c).alias(names[k]) for k, c in (("id", "doc_id"), ("doc", "doc"), ("removed", "removed"))])
     )
     same = (F.xxhash64("doc_id", "text") == F.col(names["doc"])) & F.col("doc_id").eqNullSafe(F.col(names["id"]))
     joined = docs.join(lookup, same, "left")
@@ -303,8 +310,9 @@ def deduplicate(
         return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
 
     text = F.when(n_removed > 0, let(F.split("text", "\n"), without)).otherwise(F.col("text"))
-    n_lines = F.coalesce(F.col(names["n"]), F.lit(0))
+    with_word = F.filter(F.split("text", "\n"), lambda line: line.rlike(_HAS_WORD))
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(with_word))
     if drop_emptied:
-        joined = joined.where(~((n_lines > 0) & (n_lines == n_removed)))
+        joined = joined.where(~((n_removed > 0) & (n_lines == n_removed)))
     kept = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*kept, n_lines.cast("bigint").alias("n_lines"), n_removed.cast("bigint").alias("n_removed"))

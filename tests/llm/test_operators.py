@@ -209,6 +209,23 @@ def test_line_dedup_orders_chosen_and_other_lines_alike(spark):
         assert {r["doc_id"]: r["n_removed"] for r in rows} == {i: want[i] for i in range(n)}
 
 
+def test_line_dedup_goes_on_with_connected_lines_only(spark, monkeypatch):
+    rnd = random.Random(3)
+    alone = [" ".join(f"a{rnd.randrange(10**6)}" for _ in range(30)) for _ in range(40)]
+    near = [f"n{i}" for i in range(30)]
+    rows = [(i, f"{line}\n\n \t\n{i}") for i, line in enumerate(alone)]
+    rows += [(100, " ".join(near)), (101, " ".join([*near, "end"])), (102, "\n" + alone[5]), (103, ""), (104, None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    fetched = []
+    old = line_dedup._fetched
+    monkeypatch.setattr(line_dedup, "_fetched", lambda *a: fetched.append(old(*a)) or fetched[-1])
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in line_dedup.deduplicate(table).collect()}
+    assert got == {**dict.fromkeys(range(40), (2, 0)), 100: (1, 0), 101: (1, 1), 102: (1, 1), 103: (0, 0), 104: (0, 0)}
+    assert [f.count() for f in fetched] == [2]
+    left = {r["doc_id"] for r in line_dedup.deduplicate(table, drop_emptied=True).collect()}
+    assert left == {*range(40), 100, 103, 104}
+
+
 def test_automaton_against_brute_force():
     rnd = random.Random(8)
     words = [b"a", b"b", b"c"]
