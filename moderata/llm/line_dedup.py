@@ -2,14 +2,14 @@
 
 A line is the set of its shingles of five words (a shorter line is one shingle). The
 shingles of a line are put in one order for the whole corpus; equal sets are one from here on; two lines with Jaccard
-similarity of 0.8 or more must share one of the first few, their prefix. Prefixes are first taken by hash alone, and
-a set of whose prefix no other prefix has a shingle is done with: only the others and their lines go on. Their order is
-rare before frequent; the lines with a shingle
-that ``FREQUENT`` prefixes have are counted in full, and the shingles that
+similarity of 0.8 or more have the first ``SHARED`` of their common shingles (all, if they have fewer) among the first few
+of both, their prefixes. Prefixes are first taken by hash alone, and a set that shares fewer shingles of its prefix with
+other prefixes is done with: only the others and their lines go on. Their order is
+rare before frequent: the lines with a shingle that ``FREQUENT`` prefixes have are counted in full, and the shingles that
 ``FREQUENT`` of these lines have follow all others, by that count. Every line with such a
-shingle in its prefix is ordered anew; for the others the prefix by hash is the same. Prefix shingles that only one set has are dropped, the others are
-joined, pairs pass filters on length and on the position of the shared shingle, and
-the shingles themselves are compared. A line goes if an earlier line, in order of
+shingle in its prefix is ordered anew; for the others the prefix by hash is the same. Prefix shingles that only one set has are dropped, the others
+are joined, pairs must share as many shingles and pass filters on length and on the position of the shared
+shingles, and the shingles themselves are compared. A line goes if an earlier line, in order of
 ``doc_id`` and line number, is that similar to it.
 
 Only whether a line has an earlier match is asked, so of a dense group every line is
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moderata.llm.common import BLANKS, fresh, let, words
@@ -37,8 +37,13 @@ SHINGLE = 5
 # Similarity as a fraction, so that its comparison is exact.
 SIMILARITY = (4, 5)
 FREQUENT = 50
+# Shingles that the prefixes of similar sets have in common, if the sets have as many.
+SHARED = 4
 HERE = ("doc_id", "doc", "line_no")
-_HAS_WORD = f"[^{BLANKS}]"
+
+
+def _has_word(line: Column) -> Column:
+    return F.ltrim(line, F.lit(BLANKS)) != ""
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
@@ -52,35 +57,21 @@ def shingles(line: Column, size: int = SHINGLE) -> Column:
 
 
 def _run_steps(size: int) -> list[Callable[[Column], Column]]:
-    """The way from the words of a line to its shingles.
+    """The way from the words of a line to its shingles, in order of their hashes.
 
-    Words are hashed in pairs; runs of 2, 4 ... words are doubled while they fit and
-    then lengthened to ``size`` by a second run that overlaps the first. A line of
-    fewer words is one run of them all. Every step uses its argument more than
+    A line of fewer words is one run of them all. Every step uses its argument more than
     once, so it has to be bound.
     """
 
-    def paired(shift: int) -> Callable[[Column], Column]:
-        def step(runs: Column) -> Column:
-            # A line too short for this length keeps what it has, under one hash.
-            length = F.size(runs) - shift
-            both = F.zip_with(F.slice(runs, F.lit(1), length), F.slice(runs, shift + 1, length), _hash_two)
-            whole = F.when(F.size(runs) > 0, F.array(F.xxhash64(runs))).otherwise(F.array().cast("array<bigint>"))
-            return F.when(length > 0, both).otherwise(whole)
-
-        return step
-
-    steps = [] if size > 1 else [lambda w: F.transform(w, lambda word: F.xxhash64(word))]
-    length = 1
-    while length < size:
-        shift = min(length, size - length)
-        steps.append(paired(shift))
-        length += shift
-    return [*steps, F.array_distinct]
+    def hashed(w: Column) -> Column:
+        return F.transform(w, lambda word: F.xxhash64(word))
 
+    def runs(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
+        few = F.when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(w) >= size, many).otherwise(few)
 
-def _hash_two(a: Column, b: Column) -> Column:
-    return F.xxhash64(a, b)
+    return [hashed, runs, F.array_distinct, F.sort_array]
 
 
 def _shingle_texts(line: Column, size: int = SHINGLE) -> Column:
@@ -100,18 +91,31 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", doc, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _prefix(n: Column) -> Column:
-    """Length of the prefix of a set of ``n`` shingles."""
+def _least(n: Column) -> Column:
+    """Shingles that a set of ``n`` has in common with any similar set, at least."""
     num, den = SIMILARITY
-    return n - F.floor((n * num + (den - 1)) / den).cast("int") + 1
+    return F.floor((n * num + (den - 1)) / den).cast("int")
+
+
+def _need(n: Column) -> Column:
+    """Shingles of its prefix that a set of ``n`` has in common with the prefix of any similar set, at least."""
+    return F.least(F.lit(SHARED), _least(n))
+
+
+def _prefix(n: Column) -> Column:
+    """Length of the prefix of a set of ``n`` shingles.
+
+    Behind the ``k``-th common shingle there are at least ``_least(n) - k`` others of the set.
+    """
+    return n - _least(n) + _need(n)
 
 
 def line_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``doc_id, doc, line_no, set_key, n, prefix`` of every line with a word, prefixes by hash."""
 
     # Decided by the line itself: a filter on the shingles would compute them twice.
-    found = _lines(docs).where(F.col("line").rlike(_HAS_WORD)).select(*HERE, words(F.col("line")).alias("keys"))
-    for step in [*_run_steps(size), F.sort_array]:
+    found = _lines(docs).where(_has_word(F.col("line"))).select(*HERE, words(F.col("line")).alias("keys"))
+    for step in _run_steps(size):
         found = found.select(*HERE, step(F.col("keys")).alias("keys"))
     n = F.size("keys")
     return found.select(
@@ -124,99 +128,95 @@ def _at(*columns: str) -> Column:
 
 
 def distinct_sets(sets: DataFrame) -> DataFrame:
-    """One row per set of :func:`line_sets`: ``set_key, n, prefix``, its first line ``at`` and its number of lines."""
-    return sets.groupBy("set_key").agg(
-        F.min(_at()).alias("at"), F.count(F.lit(1)).alias("n_lines"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
-    )
+    """One row per set of :func:`line_sets`: ``set_key``, its first line ``at`` and its number of lines."""
+    return sets.groupBy("set_key").agg(F.min(_at()).alias("at"), F.count(F.lit(1)).alias("n_lines"))
 
 
-def connected(firsts: DataFrame) -> DataFrame:
-    """The settled ``firsts`` whose prefix has a shingle of another set's prefix; no other set is similar to any."""
-    rows = firsts.select("set_key", F.explode("prefix").alias("token"))
-    met = lookup_join(rows, _shared(rows), ["token"], row_id=["set_key"], matches="n_rows", settled=True)
-    found = checked_broadcast(settle(met.select("set_key").distinct()))
-    return settle(firsts.join(found, "set_key", "left_semi").drop("n_lines"))
+def _met(rows: DataFrame) -> DataFrame:
+    """The prefix ``rows(set_key, token, ...)`` whose shingle another set's prefix has too."""
+    # A set has a shingle once, so rows are sets.
+    n_rows = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    return rows.withColumn("n_rows", n_rows).where("n_rows > 1").drop("n_rows")
 
 
-def _rows(firsts: DataFrame) -> DataFrame:
-    """One row per set and prefix shingle."""
-    return firsts.select("set_key", "n", "at", F.posexplode("prefix").alias("place", "token"))
+def _enough(met: DataFrame) -> DataFrame:
+    """``set_key`` of the sets with as many rows of ``met(set_key, need)`` as they need to be similar to any."""
+    hits = met.groupBy("set_key").agg(F.count(F.lit(1)).alias("hits"), F.max("need").alias("need"))
+    return hits.where("hits >= need").select("set_key")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Shingles that the prefixes of at least two sets have, and how many."""
-    # A set has a shingle once, so rows are sets.
-    return settle(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"))
+def connected(sets: DataFrame) -> DataFrame:
+    """``set_key`` of the :func:`line_sets` that share enough shingles with others; the rest is similar to none."""
+    firsts = sets.select("set_key", "n", "prefix").dropDuplicates(["set_key"])
+    return _enough(_met(firsts.select("set_key", _need(F.col("n")).cast("tinyint").alias("need"), F.explode("prefix").alias("token"))))
 
 
-def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``set_key, line`` of the lines at ``wanted(set_key, at)``, one per set."""
+def _fetched(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``set_key, at, line, hashes, n`` of the lines at ``wanted(set_key, at)``, one per set."""
     places = settle(
         wanted.groupBy(F.col("at.doc").alias("doc"))
         .agg(F.collect_set(F.struct("set_key", F.col("at.line_no").alias("line_no"))).alias("places"))
     )
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc"), "text")
-    held = keyed.join(checked_broadcast(places), "doc").select(F.split("text", "\n").alias("lines"), "places")
-    asked = held.select("lines", F.explode("places").alias("p"))
-    return settle(
-        asked.select("p.set_key", F.get("lines", F.col("p.line_no")).alias("line")).dropDuplicates(["set_key"])
-    )
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), "text")
+    held = keyed.join(checked_broadcast(places), "doc").select("doc_id", "doc", F.split("text", "\n").alias("lines"), "places")
+    asked = held.select("doc_id", "doc", "lines", F.explode("places").alias("p"))
+    asked = asked.select("p.set_key", "doc_id", "doc", "p.line_no", F.get("lines", F.col("p.line_no")).alias("line"))
+    asked = asked.select("set_key", _at().alias("at"), "line").dropDuplicates(["set_key"])
+    return settle(asked.select("*", shingles(F.col("line"), size).alias("hashes")).withColumn("n", F.size("hashes")))
+
+
+def _prefix_rows(held: DataFrame, keys: str) -> DataFrame:
+    """``set_key, at, n, need, place, token``: the first of the ordered ``keys`` of each set."""
+    first = F.slice(keys, F.lit(1), _prefix(F.col("n")))
+    return held.select("set_key", "at", "n", _need(F.col("n")).alias("need"), F.posexplode(first).alias("place", "token"))
 
 
-def _exploded(lines: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """``set_key, token``: all shingles of the sets of ``chosen(set_key, n, at)``."""
-    held = lines.join(checked_broadcast(settle(chosen.select("set_key"))), "set_key", "left_semi")
-    return settle(held.select("set_key", F.explode(shingles(F.col("line"), size)).alias("token")))
+def _tokens(held: DataFrame) -> DataFrame:
+    return held.select("set_key", F.explode("hashes").alias("token"))
 
 
-def _reordered(exploded: DataFrame, chosen: DataFrame, many: DataFrame) -> DataFrame:
-    """Prefix rows of ``chosen(set_key, n, at)`` with the shingles of ``many`` last, by their rank."""
+def _at_least(rows: DataFrame, frequent: int) -> DataFrame:
+    """``token, n_rows`` of the tokens that ``frequent`` of ``rows`` have."""
+    return settle(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= frequent))
+
+
+def _holding(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``set_key`` of the sets whose prefix has one of ``tokens(token, n_rows)``."""
+    rows = rows.select("set_key", "token")
+    met = lookup_join(rows, tokens, ["token"], row_id=["set_key"], matches="n_rows", settled=True)
+    return met.select("set_key").distinct()
+
+
+def _reordered(held: DataFrame, many: DataFrame) -> DataFrame:
+    """Prefix rows of the sets with the shingles of ``many`` last, by their number."""
     ranked = lookup_join(
-        exploded, many, ["token"], row_id=["set_key"], matches="n_rows", how="left", settled=True
-    )
+        _tokens(held), many.withColumn("rank", F.col("n_rows")), ["token"],
+        row_id=["set_key"], matches="n_rows", how="left", settled=True,
+    )
     # One line's shingles form a group.
     keys = F.array_sort(F.collect_list(F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), "token")))
     ordered = ranked.groupBy("set_key").agg(F.transform(keys, lambda k: k["token"]).alias("keys"))
-    prefixes = chosen.join(ordered, "set_key").withColumn("prefix", F.slice("keys", F.lit(1), _prefix(F.col("n"))))
-    return settle(prefixes.select("set_key", "n", "at", F.posexplode("prefix").alias("place", "token")))
+    return _prefix_rows(held.select("set_key", "at", "n").join(ordered, "set_key"), "keys")
 
 
-def _index(lines: DataFrame, firsts: DataFrame, size: int, frequent: int) -> DataFrame:
+def _index(held: DataFrame, frequent: int) -> DataFrame:
     """One row per set and prefix shingle that another set's prefix has too."""
-    rows = _rows(firsts)
-    shared = _shared(rows)
-    crowded = settle(shared.where(F.col("n_rows") >= frequent))
+    rows = _prefix_rows(held, "hashes")
+    crowded = _at_least(rows, frequent)
     if crowded.head(1):
         chosen = settle(_holding(rows, crowded))
-        exploded = _exploded(lines, chosen, size)
-        counted = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n_rows"))
-        many = settle(
-            counted.where(F.col("n_rows") >= frequent).select("token", "n_rows", F.col("n_rows").alias("rank"))
-        )
+        many = _at_least(_tokens(held.join(checked_broadcast(chosen), "set_key", "left_semi")), frequent)
         # One order for all lines: whoever has a shingle of ``many`` in the prefix is ordered anew.
-        known = checked_broadcast(settle(chosen.select("set_key")))
-        more = settle(_holding(rows, many).join(known, "set_key", "left_anti"))
-        chosen = settle(chosen.unionByName(more))
-        exploded = exploded.unionByName(_exploded(lines, more, size))
-        known = checked_broadcast(settle(chosen.select("set_key")))
-        rest = _rows(firsts.join(known, "set_key", "left_anti"))
-        rows = rest.unionByName(_reordered(exploded, chosen, many))
-        shared = _shared(rows)
-    return settle(lookup_join(rows, shared, ["token"], row_id=["set_key"], matches="n_rows", settled=True))
-
-
-def _holding(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``set_key, n, at`` of the sets whose prefix has one of ``tokens(token, n_rows)``."""
-    met = lookup_join(
-        rows, tokens.select("token", "n_rows"), ["token"], row_id=["set_key"], matches="n_rows", settled=True
-    )
-    return met.select("set_key", "n", "at").distinct()
+        anew = checked_broadcast(settle(chosen.union(_holding(rows, many)).distinct()))
+        rest = rows.join(anew, "set_key", "left_anti")
+        rows = rest.unionByName(_reordered(held.join(anew, "set_key", "left_semi"), many))
+    return settle(_met(rows))
 
 
 def _candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
-    """Pairs on a shared prefix shingle that pass the order, length and position filters."""
+    """Pairs that share enough prefix shingles and pass the order, length and position filters."""
     num, den = SIMILARITY
-    own = ("set_key", "n", "place", "at")
+    own = ("set_key", "n", "need", "place", "at")
     a = earlier.select("token", *[F.col(c).alias(f"a_{c}") for c in own])
     b = later.select("token", *[F.col(c).alias(f"b_{c}") for c in own])
     n_a, n_b = F.col("a_n"), F.col("b_n")
@@ -225,21 +225,18 @@ def _candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
     passes = (
         (F.col("a_set_key") != F.col("b_set_key"))
         & (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num)
-        & (left >= must)
         & (F.col("a_at") < F.col("b_at"))
     )
-    return a.join(b, "token").where(passes).select("a_set_key", "b_set_key").distinct()
+    shared = a.join(b, "token").where(passes).groupBy("a_set_key", "b_set_key").agg(
+        F.count(F.lit(1)).alias("shared"), F.min(F.least("a_need", "b_need")).alias("need"), F.max(left - must).alias("spare")
+    )
+    return shared.where("shared >= need AND spare >= 0").select("a_set_key", "b_set_key")
 
 
-def _verified(lines: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+def _verified(held: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """``set_key`` of the later lines whose shingles are as similar as asked to the earlier line's."""
     num, den = SIMILARITY
     pairs = settle(pairs)
-    asked = pairs.select(F.explode(F.array("a_set_key", "b_set_key")).alias("set_key")).distinct()
-    lines = settle(lines.join(checked_broadcast(settle(asked)), "set_key", "left_semi"))
-    # Hashes are made once per line and leave few pairs; those are compared word by word.
-    hashed = checked_broadcast(settle(lines.select("set_key", shingles(F.col("line"), size).alias("hashes"))))
-    texts = checked_broadcast(lines)
 
     def beside(found: DataFrame, table: DataFrame, column: str) -> DataFrame:
         for s in "ab":
@@ -250,26 +247,29 @@ def _verified(lines: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     def similar(a: Column, b: Column) -> Column:
         return F.size(F.array_intersect(a, b)) * (num + den) >= (F.size(a) + F.size(b)) * num
 
-    likely = beside(pairs, hashed, "hashes").where(similar(F.col("a_hashes"), F.col("b_hashes")))
+    # Hashes leave few pairs; those are compared word by word.
+    likely = beside(pairs, held, "hashes").where(similar(F.col("a_hashes"), F.col("b_hashes")))
     likely = settle(likely.select("a_set_key", "b_set_key"))
+    asked = settle(likely.select(F.explode(F.array("a_set_key", "b_set_key")).alias("set_key")).distinct())
+    lines = held.select("set_key", "line").join(checked_broadcast(asked), "set_key", "left_semi")
     test = let(
         _shingle_texts(F.col("a_line"), size),
         lambda a: let(_shingle_texts(F.col("b_line"), size), lambda b: similar(a, b)),
     )
-    both = beside(likely, texts, "line").where(test)
+    both = beside(likely, lines, "line").where(test)
     return settle(both.select(F.col("b_set_key").alias("set_key")).distinct())
 
 
-def later_matches(docs: DataFrame, firsts: DataFrame, size: int = SHINGLE, frequent: int = FREQUENT) -> DataFrame:
-    """``set_key`` of the sets of the settled :func:`distinct_sets` that are similar to one with an earlier first line."""
-    firsts = connected(firsts)
-    lines = _fetched(docs, firsts.select("set_key", "at"))
-    rows = _index(lines, firsts, size, frequent)
-    earliest = rows.groupBy("token").agg(F.min(F.struct("at", "set_key", "n", "place")).alias("e"))
-    pivots = settle(earliest.select("token", "e.*"))
-    first = _verified(lines, _candidates(pivots, rows), size)
-    still_open = settle(rows.join(checked_broadcast(first), "set_key", "left_anti"))
-    rest = _verified(lines, _candidates(rows, still_open), size)
+def later_matches(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE, frequent: int = FREQUENT) -> DataFrame:
+    """``set_key`` of the sets with their first lines at ``wanted(set_key, at)`` that are similar to one with an earlier one."""
+    held = _fetched(docs, wanted, size)
+    rows = _index(held, frequent)
+    earliest = rows.groupBy("token").agg(F.min(F.struct("at", "set_key", "n", "need", "place")).alias("e"))
+    pivots = earliest.select("token", "e.*")
+    # Which pairs are tried here only matters to what is left for the join of all.
+    first = _verified(held, _candidates(pivots, rows), size)
+    still_open = rows.join(checked_broadcast(first), "set_key", "left_anti")
+    rest = _verified(held, _candidates(rows, still_open), size)
     return settle(first.union(rest).distinct())
 
 
@@ -277,11 +277,12 @@ def removed_lines(docs: DataFrame, size: int = SHINGLE, frequent: int = FREQUENT
     """``doc_id, doc, removed``: the numbers of the lines that go, of the documents that lose any."""
     source = docs.select("doc_id", "text")
     sets = settle(line_sets(source, size))
+    found = checked_broadcast(settle(connected(sets)))
     firsts = settle(distinct_sets(sets))
-    matched = later_matches(source, firsts, size, frequent)
+    matched = later_matches(source, firsts.join(found, "set_key", "left_semi"), size, frequent)
     told = checked_broadcast(matched.withColumn("_matched", F.lit(True)))
     # Only a line of a matched set, or of a set with several lines, can go.
-    goes = firsts.select("set_key", "at", "n_lines").join(told, "set_key", "left").where("_matched OR n_lines > 1")
+    goes = firsts.join(told, "set_key", "left").where("_matched OR n_lines > 1")
     narrow = sets.select("doc_id", "doc", "line_no", "set_key")
     judged = lookup_join(narrow, goes, ["set_key"], row_id=["doc", "line_no"], matches="n_lines")
     gone = judged.where(F.col("_matched").isNotNull() | ~_at().eqNullSafe(F.col("at")))
@@ -310,7 +311,7 @@ def deduplicate(
         return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
 
     text = F.when(n_removed > 0, let(F.split("text", "\n"), without)).otherwise(F.col("text"))
-    with_word = F.filter(F.split("text", "\n"), lambda line: line.rlike(_HAS_WORD))
+    with_word = F.filter(F.split("text", "\n"), _has_word)
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(with_word))
     if drop_emptied:
         joined = joined.where(~((n_removed > 0) & (n_lines == n_removed)))

@@ -226,6 +226,40 @@ def test_line_dedup_goes_on_with_connected_lines_only(spark, monkeypatch):
     assert left == {*range(40), 100, 103, 104}
 
 
+def test_line_dedup_leaves_lines_with_one_common_passage(spark, monkeypatch):
+    passage = [f"p{i}" for i in range(8)]
+    other = [[f"o{i}_{k}" for k in range(40)] for i in range(60)]
+    rows = [(i, " ".join([*w[:20], *passage, *w[20:]])) for i, w in enumerate(other)]
+    near = [f"n{i}" for i in range(48)]
+    rows += [(100, " ".join(near)), (101, " ".join([*near[:47], "end"])), (102, "a b"), (103, "a b c"), (104, "a  b")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    fetched = []
+    old = line_dedup._fetched
+    monkeypatch.setattr(line_dedup, "_fetched", lambda *a: fetched.append(old(*a)) or fetched[-1])
+    removed = {r["doc_id"] for r in line_dedup.deduplicate(table).where("n_removed > 0").collect()}
+    assert removed == {101, 104}
+    # The passage has four shingles, but few lines have all of them in their prefix.
+    assert fetched[0].count() < 30 and {100, 101} <= {r["at"]["doc_id"] for r in fetched[0].collect()}
+
+
+def test_line_dedup_equals_all_pairs(spark):
+    rnd = random.Random(21)
+    rows = []
+    for i in range(150):
+        line = rnd.choice(rows)[1].split() if rows and rnd.random() < 0.7 else [f"w{rnd.randrange(12)}" for _ in range(rnd.randint(1, 40))]
+        for _ in range(rnd.randint(0, 2)):
+            line[rnd.randrange(len(line))] = f"w{rnd.randrange(12)}"
+        rows.append((i, " ".join(line[rnd.randrange(2):] or line)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for size in (1, 2, 5):
+        runs = [[tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))] for w in (text.split() for _, text in rows)]
+        sets = [frozenset(x) for x in runs]
+        want = {j for j, b in enumerate(sets) if any(5 * len(a & b) >= 4 * len(a | b) for a in sets[:j])}
+        for frequent in (4, 50):
+            got = line_dedup.deduplicate(table, size=size, frequent=frequent).where("n_removed > 0")
+            assert {r["doc_id"] for r in got.collect()} == want
+
+
 def test_automaton_against_brute_force():
     rnd = random.Random(8)
     words = [b"a", b"b", b"c"]
