@@ -1,15 +1,16 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its shingles of five words (a shorter line is one shingle). The
-shingles of a line are put in one order for the whole corpus; equal sets are one from here on; two lines with Jaccard
-similarity of 0.8 or more have the first ``SHARED`` of their common shingles (all, if they have fewer) among the first few
-of both, their prefixes. Prefixes are first taken by hash alone, and a set that shares fewer shingles of its prefix with
-other prefixes is done with: only the others and their lines go on. Their order is
+A line is the set of its shingles of five words (a shorter line is one shingle), and
+equal sets are one from here on. The shingles of a line are put in one order for the whole corpus; two lines with Jaccard
+similarity of 0.8 or more have their first common shingles among the first few of both, their prefixes. Prefixes
+are first taken by hash alone, so long that they hold the first ``SHARED`` common shingles (all, if there are fewer), and a set
+that shares fewer shingles of its prefix with other prefixes is done with: only the others and their lines go on.
+Theirs are the prefixes of the first common shingle, in an order of
 rare before frequent: the lines with a shingle that ``FREQUENT`` prefixes have are counted in full, and the shingles that
 ``FREQUENT`` of these lines have follow all others, by that count. Every line with such a
-shingle in its prefix is ordered anew; for the others the prefix by hash is the same. Prefix shingles that only one set has are dropped, the others
-are joined, pairs must share as many shingles and pass filters on length and on the position of the shared
-shingles, and the shingles themselves are compared. A line goes if an earlier line, in order of
+shingle in its prefix is ordered anew; for the others the prefix by hash is the same. Prefix shingles that only one
+set has are dropped, the others are joined, pairs pass filters on length and on the position of the shared shingle, and
+the shingles themselves are compared. A line goes if an earlier line, in order of
 ``doc_id`` and line number, is that similar to it.
 
 Only whether a line has an earlier match is asked, so of a dense group every line is
@@ -102,12 +103,12 @@ def _need(n: Column) -> Column:
     return F.least(F.lit(SHARED), _least(n))
 
 
-def _prefix(n: Column) -> Column:
-    """Length of the prefix of a set of ``n`` shingles.
+def _prefix(n: Column, common: Column | int = 1) -> Column:
+    """Length of the prefix of a set of ``n`` shingles that holds the first ``common`` it has in common with a similar set.
 
     Behind the ``k``-th common shingle there are at least ``_least(n) - k`` others of the set.
     """
-    return n - _least(n) + _need(n)
+    return n - _least(n) + common
 
 
 def line_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -119,7 +120,7 @@ def line_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         found = found.select(*HERE, step(F.col("keys")).alias("keys"))
     n = F.size("keys")
     return found.select(
-        *HERE, F.xxhash64("keys").alias("set_key"), n.alias("n"), F.slice("keys", F.lit(1), _prefix(n)).alias("prefix")
+        *HERE, F.xxhash64("keys").alias("set_key"), n.alias("n"), F.slice("keys", F.lit(1), _prefix(n, _need(n))).alias("prefix")
     )
 
 
@@ -166,9 +167,9 @@ def _fetched(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _prefix_rows(held: DataFrame, keys: str) -> DataFrame:
-    """``set_key, at, n, need, place, token``: the first of the ordered ``keys`` of each set."""
+    """``set_key, at, n, place, token``: the first of the ordered ``keys`` of each set."""
     first = F.slice(keys, F.lit(1), _prefix(F.col("n")))
-    return held.select("set_key", "at", "n", _need(F.col("n")).alias("need"), F.posexplode(first).alias("place", "token"))
+    return held.select("set_key", "at", "n", F.posexplode(first).alias("place", "token"))
 
 
 def _tokens(held: DataFrame) -> DataFrame:
@@ -214,9 +215,9 @@ def _index(held: DataFrame, frequent: int) -> DataFrame:
 
 
 def _candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
-    """Pairs that share enough prefix shingles and pass the order, length and position filters."""
+    """Pairs on a shared prefix shingle that pass the order, length and position filters."""
     num, den = SIMILARITY
-    own = ("set_key", "n", "need", "place", "at")
+    own = ("set_key", "n", "place", "at")
     a = earlier.select("token", *[F.col(c).alias(f"a_{c}") for c in own])
     b = later.select("token", *[F.col(c).alias(f"b_{c}") for c in own])
     n_a, n_b = F.col("a_n"), F.col("b_n")
@@ -225,12 +226,10 @@ def _candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
     passes = (
         (F.col("a_set_key") != F.col("b_set_key"))
         & (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num)
+        & (left >= must)
         & (F.col("a_at") < F.col("b_at"))
     )
-    shared = a.join(b, "token").where(passes).groupBy("a_set_key", "b_set_key").agg(
-        F.count(F.lit(1)).alias("shared"), F.min(F.least("a_need", "b_need")).alias("need"), F.max(left - must).alias("spare")
-    )
-    return shared.where("shared >= need AND spare >= 0").select("a_set_key", "b_set_key")
+    return a.join(b, "token").where(passes).select("a_set_key", "b_set_key").distinct()
 
 
 def _verified(held: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -264,9 +263,8 @@ def later_matches(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE, frequ
     """``set_key`` of the sets with their first lines at ``wanted(set_key, at)`` that are similar to one with an earlier one."""
     held = _fetched(docs, wanted, size)
     rows = _index(held, frequent)
-    earliest = rows.groupBy("token").agg(F.min(F.struct("at", "set_key", "n", "need", "place")).alias("e"))
+    earliest = rows.groupBy("token").agg(F.min(F.struct("at", "set_key", "n", "place")).alias("e"))
     pivots = earliest.select("token", "e.*")
-    # Which pairs are tried here only matters to what is left for the join of all.
     first = _verified(held, _candidates(pivots, rows), size)
     still_open = rows.join(checked_broadcast(first), "set_key", "left_anti")
     rest = _verified(held, _candidates(rows, still_open), size)
