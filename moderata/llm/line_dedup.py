@@ -26,6 +26,8 @@ all its lines has an empty text; an empty table gives no rows; all other columns
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,10 +88,17 @@ def _shingle_texts(line: Column, size: int = SHINGLE) -> Column:
     return let(words(line), runs)
 
 
+def _spaced(text: Column) -> Column:
+    """``text`` with a space for every blank but line ends; a text without such a blank is not searched again to replace it."""
+    others = [F.lit(blank) for blank in BLANKS if blank not in " \n"]
+    spaced = reduce(lambda t, blank: F.replace(t, blank, F.lit(" ")), others, text)
+    return F.when(reduce(or_, [F.contains(text, blank) for blank in others]), spaced).otherwise(text)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, doc, line_no, line`` with ``doc`` a hash of id and text."""
+    """``doc_id, doc, line_no, line`` with ``doc`` a hash of id and text, and spaces as the only blanks of a line."""
     doc = F.xxhash64("doc_id", "text").alias("doc")
-    return docs.select("doc_id", doc, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return docs.select("doc_id", doc, F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line_no", "line"))
 
 
 def _least(n: Column) -> Column:
@@ -115,7 +124,8 @@ def line_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``doc_id, doc, line_no, set_key, n, prefix`` of every line with a word, prefixes by hash."""
 
     # Decided by the line itself: a filter on the shingles would compute them twice.
-    found = _lines(docs).where(_has_word(F.col("line"))).select(*HERE, words(F.col("line")).alias("keys"))
+    line_words = F.array_remove(F.split("line", " "), "")
+    found = _lines(docs).where(F.ltrim("line") != "").select(*HERE, line_words.alias("keys"))
     for step in _run_steps(size):
         found = found.select(*HERE, step(F.col("keys")).alias("keys"))
     n = F.size("keys")

@@ -472,3 +472,12 @@ def test_deep_and_wide_pages(spark):
     assert got[0] == "inner words\n\nafter"
     assert got[1].split("\n\n") == [f"part {i} of the text" for i in range(2000)]
     assert got[2].split() == [f"w{i}" for i in range(20_000)] and got[3].split() == got[2].split()
+
+
+def test_line_dedup_reads_every_blank_alike(spark):
+    line = " ".join(f"w{i}" for i in range(12))
+    texts = [line, line.replace(" ", "\t"), f"\r{line}\x0b\n \x0c\r\t \n", f"  {line.replace(' ', ' \x0c ')}", "\x0b\t", None, "a b"]
+    got = line_dedup.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert [(r["text"], r["n_lines"], r["n_removed"]) for r in got.orderBy("doc_id").collect()] == [
+        (line, 1, 0), ("", 1, 1), (" \x0c\r\t \n", 1, 1), ("", 1, 1), ("\x0b\t", 0, 0), (None, 0, 0), ("a b", 1, 0),
+    ]
