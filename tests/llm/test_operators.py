@@ -411,6 +411,34 @@ def test_language_model_scores(docs, spark):
     assert rows[1]["n_tokens"] == 0 and rows[1]["mean_log_prob"] is None and rows[None]["n_tokens"] == 12000
 
 
+def test_tokens_of_a_shared_class_are_told_apart():
+    counts = np.zeros(lm_scoring.N_IDS, dtype=np.int64)
+    counts[: lm_scoring.N_SINGLE], counts[[200, 201]] = 100_000, 1000
+    model = lm_scoring.new_model(counts)
+    assert model.classes[200] == model.classes[201] >= lm_scoring.N_SINGLE
+    score = lambda m, ids: m.log_probabilities(np.array(ids))[1]
+    # Untrained, a token has its corpus share.
+    assert score(model, [1, 200, 1]) == pytest.approx(score(model, [1, 201, 1]), abs=1e-5)
+    trainer = lm_scoring.Trainer(model)
+    for _ in range(60):
+        trainer.train([np.array(d) for d in ([1, 200, 1], [2, 201, 2], [200, 5, 200], [201, 6, 201])] * 20)
+    made = trainer.model
+    # The same class and the same share, so that only what stands around decides; and the other way round.
+    assert score(made, [1, 200, 1]) > score(made, [1, 201, 1]) + 1 and score(made, [2, 201, 2]) > score(made, [2, 200, 2]) + 1
+    assert score(made, [200, 5, 200]) > score(made, [201, 5, 201]) + 1
+    every = np.arange(lm_scoring.N_IDS)
+    total = sum(np.exp(made.scores([np.array([1, i, 2]) for i in part])[1::3]).sum() for part in np.array_split(every, 8))
+    assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_averages_of_a_row_follow_how_often_it_was_met():
+    rows = lambda met, weights: (3, np.array(met, np.float32), np.array(weights, np.float32))
+    batch = lm_scoring._piece_batch([rows([1, 0, 0], [[1], [9], [9]]), rows([3, 2, 0], [[5], [4], [9]])], np.float32)
+    made = next(lm_scoring._summed(iter([batch]))).to_pylist()[0]
+    assert made["piece"] == 3 and np.frombuffer(made["met"], np.float32).tolist() == [4, 2, 0]
+    assert np.frombuffer(made["weights"], np.float32).tolist()[:2] == [4, 4]
+
+
 def test_word_numbers_keep_no_table():
     common.forget()
     words = [f"wört{i}" for i in range(2000)]
